@@ -1,0 +1,4 @@
+"""The queries of the time-series operators, and the SQL that gives the same rows."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
