@@ -1,0 +1,194 @@
+"""Hierarchical best-fit packing of tokenised documents into sequences of bounded length.
+
+Partitions tokenise and pack their own pieces best-fit, longest first.  Nearly full bins are final.  Underfull
+bins go up a tree as items: at each level the bins of FAN_IN nodes meet in one node and are packed best-fit
+again, until one node is left.  A node sends at most CARRY bins up, the emptiest ones; the others are final as
+they are, so a node never holds more than FAN_IN * CARRY bins of two numbers each.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import cut
+
+CAPACITY = 2048
+#: A bin with at most so many places left is final at once.
+SLACK = 8
+FAN_IN, CARRY = 16, 4096
+#: Encoded words that a worker keeps, and the longest of them in bytes.
+CACHE_WORDS, CACHE_BYTES = 400_000, 48
+#: Texts tokenised at a time, by characters.
+CHUNK = 4_000_000
+
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+class WordTokens:
+    """Token ids of whole texts as little-endian 32-bit integers.
+
+    No token of this vocabulary spans white space, so that the ids of a text are those of its words; words are
+    encoded once and kept in a table of bounded size.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+        return [np.asarray(e.ids, "<u4").tobytes() for e in got]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [(t or "").encode("utf-8", "replace").split() for t in texts]  # ASCII white space only
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        known = self.known
+        missing = list(set().union(*map(set, split)).difference(known)) if split else []
+        rare: dict[bytes, bytes] = {}
+        for i in range(0, len(missing), 20_000):
+            part = missing[i : i + 20_000]
+            for w, ids in zip(part, self._encode(part)):
+                (known if len(w) <= CACHE_BYTES else rare)[w] = ids
+        if rare:
+            return [b"".join([known[w] if w in known else rare[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    start = total = 0
+    for i, t in enumerate(texts):
+        total += len(t or "")
+        if total > CHUNK:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best fit, longest first: bin and offset of each item, and what each bin holds.
+
+    Open bins are kept by the room they have; a bit mask over rooms finds the tightest in constant time.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    where, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    held: list[int] = []
+    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    mask = 0
+    for i, n in zip(order.tolist(), lengths[order].tolist()):
+        fits = mask >> n
+        if fits:
+            room = n + ((fits & -fits).bit_length() - 1)
+            b = by_room[room].pop()
+            if not by_room[room]:
+                mask ^= 1 << room
+        else:
+            room, b = capacity, len(held)
+            held.append(0)
+        where[i], offset[i] = b, held[b]
+        held[b] += n
+        room -= n
+        if room:
+            by_room[room].append(b)
+            mask |= 1 << room
+    return where, offset, np.asarray(held, np.int64)
+
+
+def pack_partition(path: str, capacity: int = CAPACITY) -> Callable:
+    """Tokenise and pack the documents of a partition: pieces with their bin, their place in it and what it holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = WordTokens(path)
+        cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        nulls: list[np.ndarray] = []
+        for batch in batches:
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            for i, j in chunks(texts):
+                rows: list[tuple] = []
+                for doc, data in zip(ids[i:j].to_pylist(), tokens(texts[i:j])):
+                    data += b"\0\0\0\0"
+                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        rows.append((doc or 0, piece, at // 4, len(part) // 4, zlib.crc32(part), doc is None))
+                done = np.array(rows, np.int64)
+                for k in range(5):
+                    cols[k].append(done[:, k].copy())
+                nulls.append(done[:, 5] == 1)
+        if not nulls:
+            return
+        doc, piece, start, length, crc = (np.concatenate(c) for c in cols)
+        where, offset, held = best_fit(length, capacity)
+        base = TaskContext.get().partitionId() << 36
+        out = [pa.array(doc, mask=np.concatenate(nulls)), pa.array(piece.astype(np.int32)), *map(pa.array, (start, length, crc, where + base, offset, held[where]))]
+        whole = pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "held"])
+        for i in range(0, len(whole), 50_000):
+            yield whole.slice(i, 50_000)
+
+    return run
+
+
+def merge_node(capacity: int, slack: int, carry: int, last: bool) -> Callable:
+    """Pack the bins of a node best-fit: each one's new bin and place there, and whether that bin goes up."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        every = pd.concat(parts, ignore_index=True)
+        for node, pdf in every.groupby("node"):
+            pdf = pdf.sort_values(["held", "bin"])
+            bins, lengths = pdf["bin"].to_numpy(), pdf["held"].to_numpy()
+            where, offset, held = best_fit(lengths, capacity)
+            up = held < capacity - slack
+            if last:
+                up[:] = False
+            elif up.sum() > carry:
+                up &= held <= np.sort(held[up])[carry - 1]
+            first = np.full(len(held), np.iinfo(np.int64).max)
+            np.minimum.at(first, where, bins)
+            yield pd.DataFrame({"bin": bins, "into": first[where], "shift": offset, "node": node, "sum": held[where], "up": up[where]})
+
+    return run
+
+
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
+    """One row for each piece of each row of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A document is its token ids and the id 0; only a longer one than capacity is cut.  A null or empty text is the
+    id 0 alone.  Rows with the same doc_id, or none, are documents of their own.  Other columns are ignored.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pieces = cut(docs.mapInArrow(pack_partition(path, capacity), PIECE + ", bin long, offset long, held long"))
+    moved = None
+    open_bins = cut(pieces.where(F.col("held") < capacity - slack).groupBy(F.col("bin").alias("bin")).agg(F.first("held").alias("held")).withColumn("node", F.shiftright("bin", 36)))
+    nodes = (open_bins.agg(F.max("node")).first()[0] or 0) + 1
+    while True:
+        nodes = -(-nodes // FAN_IN)
+        up = open_bins.withColumn("node", F.expr(f"node div {FAN_IN}"))
+        level = cut(
+            up.repartition("node").mapInPandas(merge_node(capacity, slack, CARRY, nodes == 1), "bin long, into long, shift long, node long, sum long, up boolean")
+        )
+        step = level.select("bin", "into", "shift")
+        if moved is None:
+            moved = step
+        else:
+            later = step.select(F.col("bin").alias("at"), F.col("into").alias("next"), F.col("shift").alias("more"))
+            moved = moved.join(later, moved["into"] == later["at"], "left").select(
+                "bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")
+            )
+        if nodes == 1:
+            break
+        open_bins = level.where("up").groupBy(F.col("into").alias("bin")).agg(F.first("sum").alias("held"), F.first("node").alias("node"))
+    moved = moved.withColumnRenamed("bin", "from")
+    out = pieces.join(moved, pieces["bin"] == moved["from"], "left")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("into", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
