@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney, ngram_join, packing, quality_rules
+from . import kneser_ney, ngram_join, packing, pii, quality_rules, secrets, sharding, url_filters
 from .shared import table
 
 QUERIES: dict = {}
@@ -35,3 +35,41 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"), "doc_id")
+
+
+ORACLE_SQL["op2_sharding"] = """
+WITH RECURSIVE names AS (SELECT i, 'shard-' || lpad(i::VARCHAR, 2, '0') AS shard FROM range(64) t(i)),
+shards AS (
+    SELECT i, shard, ('0x' || substr(md5(shard || '/offset'), 1, 12))::BIGINT % 8191 AS o,
+        ('0x' || substr(md5(shard || '/skip'), 1, 12))::BIGINT % 8190 + 1 AS s
+    FROM names),
+fill(turn, slot, bits) AS (
+    SELECT -1::BIGINT, -1::BIGINT, repeat('0', 8191)::BIT
+    UNION ALL
+    SELECT turn + 1, pick, set_bit(bits, pick::INT, 1) FROM (
+        SELECT f.turn, f.bits,
+            list_filter(list_transform(range(8191), lambda j: (o + j * s) % 8191), lambda x: get_bit(f.bits, x::INT) = 0)[1] AS pick
+        FROM fill f JOIN shards ON i = (f.turn + 1) % 64 WHERE f.turn < 8190)),
+placed AS (SELECT doc_id, (('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % 8191)::INT AS slot FROM documents)
+SELECT doc_id, p.slot, shard FROM placed p LEFT JOIN fill f ON f.slot = p.slot LEFT JOIN shards ON i = f.turn % 64
+"""
+
+
+@query
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(table(spark, sf_dir, "pages"))
