@@ -1,6 +1,66 @@
-STAGES = []
+"""The corpus pipeline: documents judged, deduplicated, freed of personal data and packed into sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next one's docs.  All but the last return the columns of documents.  Rows without doc_id cannot be named by the
+stages that remove rows; they stay.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import kneser_ney, ngram_join, packing, pii, quality_rules
+from tidemark.llm.shared import bounded, cut, table
+
+#: SQL cannot express the stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the doc_ids of gone; few of them are broadcast, so that texts aren't shuffled."""
+    gone = cut(gone.select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(F.broadcast(gone) if bounded(gone) else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return _without(docs, quality_rules.apply_rules(docs).where("not kept"))
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is within the limit of their language."""
+    return _without(docs, kneser_ney.classify(docs, table(spark, sf_dir, "labels")).where("not kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of least doc_id; of repeated rows one."""
+    found = cut(ngram_join.near_duplicates(docs).select("doc_id", "class_id"))
+    kept = _without(docs, found.where("doc_id <> class_id"))
+    twice = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice")))
+    if twice.isEmpty():
+        return kept
+    few = F.broadcast(twice) if bounded(twice) else twice
+    again = kept.join(few, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(few, F.col("doc_id") == F.col("_twice"), "left_anti").union(again)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with personal data generalised and disclosing terms removed."""
+    return pii.sanitise(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", quality), ("quality_classifier", classifier), ("near_duplicates", near_duplicates), ("pii", personal_data), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+    return docs

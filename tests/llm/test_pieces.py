@@ -1,0 +1,56 @@
+import random
+import zlib
+
+import public_tokenizers
+import pytest
+import sentencepiece
+
+from tidemark.llm import pieces
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+TEXTS = ["", "a", " ", "  hello   world ", "Hello, wörld! 🙂 x\n\n  y\t z", "a" * 5000, "1234567890 3.14", "日本語のテキスト", "<s> </s> <unk> <0x0A>", "----====----", "    def f(x):\n        return x**2 + y\n", "antidisestablishmentarianism"]
+
+
+def test_ids_are_the_models_own():
+    r = random.Random(3)
+    made = ["".join(r.choice("abcdehinorst  ,.\nÀé1🙂-") for _ in range(r.randrange(80))) for _ in range(2000)]
+    mine, model = pieces.Pieces(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for t in TEXTS + made:
+        ids = mine.encode(t)
+        assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == model.encode(t)
+        assert mine.decode(ids) == t
+
+
+def test_unigram_takes_the_greatest_sum():
+    model = pieces.Pieces(PATH, kind="unigram")
+    model.ids = {t: i for i, t in enumerate(["a", "b", "ab", "ba", "aba"])}
+    model.texts[:5], model.scores[:5] = ["a", "b", "ab", "ba", "aba"], [-3.0, -3.0, -4.0, -2.0, -9.0]
+    model.automaton = pieces.ahocorasick.Automaton()
+    for t, i in model.ids.items():
+        model.automaton.add_word(t, (i, len(t)))
+    model.automaton.make_automaton()
+
+    def brute(t):
+        if not t:
+            return 0.0, []
+        return max(((brute(t[len(p) :])[0] + model.scores[i], [i, *brute(t[len(p) :])[1]]) for p, i in model.ids.items() if t.startswith(p)), key=lambda x: x[0])
+
+    for t in ("aba", "abba", "babab", "aabb"):
+        assert sum(model.scores[i] for i in model.best_path(t)) == pytest.approx(brute(t)[0])
+    assert model.best_path("axb") == [0, -1, 1]
+
+
+def test_round_trip_in_frames(spark):
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(99, None, "y"), (None, "no id", "z"), (0, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    done = pieces.decode(pieces.encode(docs, PATH), PATH).collect()
+    assert sorted((str(r.doc_id), r.text) for r in done) == sorted((str(d), t or "") for d, t, _ in rows)
+    assert all(r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r.ids)) for r in done)
+    assert pieces.encode(docs.limit(0), PATH).collect() == []
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    want = {r.doc_id: model.encode(r.text) for r in docs.collect()}
+    assert {r.doc_id: r.ids for r in pieces.encode(docs, PATH).collect()} == want

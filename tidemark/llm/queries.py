@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import kneser_ney, ngram_join, packing, pii, quality_rules, secrets, sharding, url_filters
+from . import kneser_ney, ngram_join, packing, pieces, pii, quality_rules, secrets, sharding, url_filters
 from .shared import table
 
 QUERIES: dict = {}
@@ -73,3 +74,11 @@ SELECT doc_id, p.slot, shard FROM placed p LEFT JOIN fill f ON f.slot = p.slot L
 @query
 def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and a checksum of what they decode to."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    done = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", F.crc32(F.encode("text", "UTF-8")).alias("decoded_crc32"), "ids")
