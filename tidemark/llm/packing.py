@@ -8,6 +8,9 @@ they are, so a node never holds more than FAN_IN * CARRY bins of two numbers eac
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,46 +27,87 @@ CAPACITY = 2048
 #: A bin with at most so many places left is final at once.
 SLACK = 8
 FAN_IN, CARRY = 16, 4096
-#: Encoded words that a worker keeps, and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+#: Encoded units that a worker keeps.
+CACHE_UNITS = 200_000
 #: Texts tokenised at a time, by characters.
-CHUNK = 4_000_000
+CHUNK = 3_000_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Words of Latin letters, with marks behind them or not: one or two units of the tokenizer, which no case of its
+#: pattern splits otherwise.
+PLAIN = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]{1,48})([.,!?;:%*#$&|]{0,8})|.*)$", re.MULTILINE)
+
+
 class WordTokens:
     """Token ids of whole texts as little-endian 32-bit integers.
 
-    No token of this vocabulary spans white space, so that the ids of a text are those of its words; words are
-    encoded once and kept in a table of bounded size.
+    No token of this vocabulary spans white space, so that the ids of a text are those of its words; each different
+    word of some megabytes of text is encoded once.  Of plain words only the lower-case letters and the marks are
+    encoded, many in one call; the last token of each such unit has the suffix for word ends, which parts them.
+    Units are kept in a table of bounded size.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in got]
+        self.tokenizer, self.units = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_units(self, units: list[str]) -> None:
+        lines = [units[i : i + 200] for i in range(0, len(units), 200)]
+        for line, ids in zip(lines, self._ids([" ".join(x) for x in lines])):
+            ids = np.asarray(ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(line):
+                raise ValueError(f"a unit is not one word of {self.tokenizer!r}")
+            data, start = ids.tobytes(), 0
+            for unit, end in zip(line, (cuts * 4).tolist()):
+                self.units[unit] = data[start:end]
+                start = end
+
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found = PLAIN.findall(b"\n".join(words).decode())
+        if len(self.units) > CACHE_UNITS:
+            self.units.clear()
+        units = self.units
+        letters = [a.lower() for a, _ in found]
+        new = set(letters).union({b for _, b in found}).difference(units, ("",))
+        self._learn_units(list(new))
+        units[""] = b""
+        out = {w: units[a] + units[b] if a else None for w, a, (_, b) in zip(words, letters, found)}
+        other = [w for w, ids in out.items() if ids is None]
+        for i in range(0, len(other), 10_000):
+            part = other[i : i + 10_000]
+            for w, ids in zip(part, self._ids([w.decode() for w in part])):
+                out[w] = np.asarray(ids, "<u4").tobytes()
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]  # ASCII white space only
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        missing = list(set().union(*map(set, split)).difference(known)) if split else []
-        rare: dict[bytes, bytes] = {}
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for w, ids in zip(part, self._encode(part)):
-                (known if len(w) <= CACHE_BYTES else rare)[w] = ids
-        if rare:
-            return [b"".join([known[w] if w in known else rare[w] for w in words]) for words in split]
+        words = list(set(itertools.chain.from_iterable(split)))
+        known = self._encoded(words) if words else {}
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+_LOADED: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker process, which takes many tasks."""
+    if path not in _LOADED:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _LOADED[path] = WordTokens(path)
+    return _LOADED[path]
+
+
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     start = total = 0
     for i, t in enumerate(texts):
@@ -108,7 +152,7 @@ def pack_partition(path: str, capacity: int = CAPACITY) -> Callable:
     """Tokenise and pack the documents of a partition: pieces with their bin, their place in it and what it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
         nulls: list[np.ndarray] = []
         for batch in batches:
