@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, ngram_join, packing, pieces, pii, quality_rules, secrets, sharding, url_filters
+from . import kneser_ney, media, ngram_join, packing, pieces, pii, quality_rules, secrets, sharding, url_filters
 from .shared import table
 
 QUERIES: dict = {}
@@ -82,3 +82,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     done = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", F.crc32(F.encode("text", "UTF-8")).alias("decoded_crc32"), "ids")
+
+
+@query
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector drawn as a picture; those whose id 50 divides are the queries."""
+    found = media.find_copies(media.render(table(spark, sf_dir, "embeddings")), F.col("image_id") % 50 == 0)
+    return found.withColumnRenamed("image_id", "vec_id")
