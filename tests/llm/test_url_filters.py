@@ -1,0 +1,43 @@
+import re
+
+from pyspark.sql import functions as F
+
+from tidemark.llm.url_filters import RULES, filter_urls
+
+URLS = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.COM/en/x", "https://www.example.com/en/1?x#y", "a://b.net/es/", "a://net/fr/z", "a://xnet/es/", "a://com", "a://x.com?q=/en/", "a://É.COM/a", "x\ny://h.org/p\nq", "a://b.c/d://e.com/f", "a://m.example.com/en/q#/z", "://net/es/"]
+
+
+def brute(url):
+    m = re.search("://(.*)$", url or "", re.S)
+    rest = url[url.index("://") + 3 :] if m else ""
+    host = re.match("[^/?#]*", rest)[0]
+    path = re.match("[^?#]*", rest[len(host) :])[0]
+    host = re.sub("[A-Z]", lambda c: c[0].lower(), host)
+    fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_rules(spark):
+    rows = [(i, u, "x") for i, u in enumerate(URLS)] + [(None, "a://q.net/es/1", "x")]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string, host string")).collect()}
+    for i, u, _ in rows:
+        host, path, rule, verdict = brute(u)
+        assert got[i][:3] == (host, path, rule) and got[i][3] == (verdict or "allow")
+    assert filter_urls(spark.createDataFrame(rows, "page_id long, url string, host string").limit(0)).collect() == []
+
+
+def test_whole_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: (r.host, r.path, r.rule) for r in filter_urls(pages).collect()}
+    assert got == {r.page_id: brute(r.url)[:3] for r in pages.collect()}
+
+
+def test_templates_by_purity(spark):
+    """Of one host, a branch of labelled spam is rejected, unlabelled pages of it too; variable segments are one."""
+    rows = [(i, f"https://h.org/{'buy' if i % 2 else 'read'}/user{i}x/{i}") for i in range(400)] + [(1000 + i, f"https://h.org/buy/z{i}/{i}.html") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.where("page_id < 200").select("page_id", (F.col("page_id") % 2 == 1).alias("blocked"))
+    got = {r.page_id: r for r in filter_urls(pages, labels).collect()}
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(400))
+    assert got[1].template == "/buy/{id}/{number}" and got[0].template == "/read/{id}/{number}" and got[1000].template == "/buy/{id}/{number}.html"
+    assert all(r.verdict == "allow" for r in filter_urls(pages).collect())
