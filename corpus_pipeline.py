@@ -18,10 +18,15 @@ from tidemark.llm.shared import bounded, cut, table
 ORACLE_SQL = None
 
 
+def _ids(rows: DataFrame) -> DataFrame:
+    """The different doc_ids of rows, marked for broadcast if they are few."""
+    ids = cut(rows.select("doc_id").where("doc_id is not null").distinct())
+    return F.broadcast(ids) if bounded(ids) else ids
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the doc_ids of gone; few of them are broadcast, so that texts aren't shuffled."""
-    gone = cut(gone.select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(F.broadcast(gone) if bounded(gone) else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs without the doc_ids of gone; where those are few, texts aren't shuffled."""
+    return docs.join(_ids(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +43,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates, the one of least doc_id; of repeated rows one."""
     found = cut(ngram_join.near_duplicates(docs).select("doc_id", "class_id"))
     kept = _without(docs, found.where("doc_id <> class_id"))
-    twice = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice")))
+    twice = _ids(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"))
     if twice.isEmpty():
         return kept
-    few = F.broadcast(twice) if bounded(twice) else twice
-    again = kept.join(few, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(few, F.col("doc_id") == F.col("_twice"), "left_anti").union(again)
+    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").union(again).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
