@@ -68,6 +68,6 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, private)) == sorted(map(str, want))
     packed = stages["packing"](spark, again([(i, *r[1:]) for i, r in enumerate(private)]), str(tmp_path)).collect()
     full = held(packed, [r[1] for r in private], 2048)
-    assert len(full) <= 1.05 * sum(full) / 2048 + 1
+    assert len(full) <= 1.1 * sum(full) / 2048 + 1  # of some hundred documents about 440 tokens long
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.length, r.ids_crc32) for r in whole) == sorted((r.length, r.ids_crc32) for r in packed)
