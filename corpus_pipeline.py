@@ -7,12 +7,14 @@ stages that remove rows; they stay.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import kneser_ney, ngram_join, packing, pii, quality_rules
-from tidemark.llm.shared import bounded, cut, table
+from tidemark.llm.shared import bounded, cut, remove, scope, shared_dir, table
 
 #: SQL cannot express the stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
@@ -64,7 +66,13 @@ STAGES = [("quality_rules", quality), ("quality_classifier", classifier), ("near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+        with scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.schema(out.schema).parquet(path), path
     return docs

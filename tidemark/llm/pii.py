@@ -111,24 +111,31 @@ def contexts(found: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """entity, term, pmi, information: the terms that give entities away."""
+    """entity, term, pmi, information: the terms that give entities away.
+
+    A term occurs in as many documents at least as it stands near any entity in.  Pairs that this bound already
+    clears need no count over the corpus; those of common words all do.
+    """
     n = docs.count()
     pairs = near.groupBy("entity", "term", "doc").agg(F.min("context").alias("context"))
     pairs = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
-    pairs = cut(pairs.where(F.col("contexts") >= LEAST_CONTEXTS))
     entities = near.groupBy("entity", "doc").agg(F.lit(1).alias("x")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    least = near.groupBy("term", "doc").agg(F.lit(1).alias("x")).groupBy("term").agg(F.count("*").alias("n_near"))
+    information = F.log(F.lit(float(n)) / F.col("n_entity"))
+
+    def pmi(n_term: str) -> Column:
+        return F.log(F.least("n_both", n_term, "n_entity") * F.lit(float(n)) / (F.col("n_entity") * F.col(n_term)))
+
+    pairs = pairs.where(F.col("contexts") >= LEAST_CONTEXTS).join(entities, "entity").join(least, "term")
+    pairs = cut(pairs.where((information > 0) & (pmi("n_near") >= DISCLOSURE * information)))
     wanted = cut(pairs.select("term").distinct())
     each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
     if bounded(wanted):
         df = each.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     else:
         df = each.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
-    told = pairs.join(df, "term").join(entities, "entity")
-    both = F.least("n_both", "n_term", "n_entity")
-    pmi = F.log(both * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term")))
-    information = F.log(F.lit(float(n)) / F.col("n_entity"))
-    told = told.select("entity", "term", pmi.alias("pmi"), information.alias("information"))
-    return told.where((F.col("information") > 0) & (F.col("pmi") >= DISCLOSURE * F.col("information")))
+    told = pairs.join(df, "term").select("entity", "term", pmi("n_term").alias("pmi"), information.alias("information"))
+    return told.where(F.col("pmi") >= DISCLOSURE * F.col("information"))
 
 
 def added_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
