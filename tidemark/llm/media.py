@@ -22,8 +22,8 @@ from .shared import bounded, cut, salt_of
 SCALES, CORNERS = (1.0, 0.7, 0.5), 20
 #: Half width of the patch of the binary tests, and of the neighbourhood of the direction.
 REACH, DISC = 13, 9
-#: Key bits of each table; descriptors of one image pair at distance 12 share a table in 19 of 20 cases.
-TABLES, KEY_BITS = 8, 24
+#: Key bits of each table; two descriptors at distance 12 share a table in four of five cases, and an image has dozens.
+TABLES, KEY_BITS = 8, 36
 #: Hamming distance of matching descriptors; corners that must agree on a transform.
 DISTANCE, VOTES = 36, 5
 #: Sizes of the votes' cells: radians, logarithm of scale, pixels; cells overlap by half.
