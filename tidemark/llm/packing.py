@@ -3,7 +3,8 @@
 Partitions tokenise and pack their own pieces best-fit, longest first.  Nearly full bins are final.  Underfull
 bins go up a tree as items: at each level the bins of FAN_IN nodes meet in one node and are packed best-fit
 again, until one node is left.  A node sends at most CARRY bins up, the emptiest ones; the others are final as
-they are, so a node never holds more than FAN_IN * CARRY bins of two numbers each.
+they are.  So a node holds what FAN_IN partitions left open, and further up at most FAN_IN * CARRY bins, of two
+numbers each.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ CAPACITY = 2048
 SLACK = 8
 FAN_IN, CARRY = 16, 4096
 #: Encoded units that a worker keeps.
-CACHE_UNITS = 200_000
+CACHE_UNITS = 400_000
 #: Texts tokenised at a time, by characters.
-CHUNK = 3_000_000
+CHUNK = 5_000_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
