@@ -25,6 +25,7 @@ def test_unigram_takes_the_greatest_sum():
     model = pieces.Pieces(PATH, kind="unigram")
     model.ids = {t: i for i, t in enumerate(["a", "b", "ab", "ba", "aba"])}
     model.texts[:5], model.scores[:5] = ["a", "b", "ab", "ba", "aba"], [-3.0, -3.0, -4.0, -2.0, -9.0]
+    model.lengths[:5] = [1, 1, 2, 2, 3]
     model.automaton = pieces.ahocorasick.Automaton()
     for t, i in model.ids.items():
         model.automaton.add_word(t, (i, len(t)))

@@ -10,7 +10,9 @@ Characters without a piece become bytes.  Words are encoded once and kept, in a
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Encoded words and checked pairs that a worker keeps, and the longest word kept, in characters.
-CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 200_000, 400_000, 40
+CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 300_000, 400_000, 40
+#: Score of a character without a piece, in sums.
+UNKNOWN_SCORE = -1e9
 
 
 class Pieces:
@@ -33,6 +37,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.kind, self.n = kind, model.get_piece_size()
         self.texts = [model.id_to_piece(i) for i in range(self.n)]
+        self.lengths = [len(t) for t in self.texts]
         self.scores = [model.get_score(i) for i in range(self.n)]
         self.bytes = {int(self.texts[i][3:5], 16): i for i in range(self.n) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
@@ -49,7 +54,7 @@ class Pieces:
         self.apart = all(not (b == SPACE and a != SPACE) for a, b in joined)
         self.lines = "\n" not in "".join(self.ids)
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """What merging adjacent parts gives, best score first, then leftmost."""
@@ -67,50 +72,47 @@ class Pieces:
 
     def stays(self, a: int, b: int) -> bool:
         """Whether merging the text of both pieces ends in these two."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            x, y = self.texts[a], self.texts[b]
-            got = self.pairs[a, b] = self.merged(x + y) == [x, y]
+        if len(self.pairs) > CACHE_PAIRS:
+            self.pairs.clear()
+        x, y = self.texts[a], self.texts[b]
+        got = self.pairs[a << 20 | b] = self.merged(x + y) == [x, y]
         return got
 
     def best_path(self, text: str) -> list[int]:
         """Ids of the pieces of text; -1 for a character without a piece."""
-        n = len(text)
-        last, size = [-1] * (n + 1), [1] * (n + 1)
-        reached = [False] * (n + 1)
-        reached[0] = True
-        total = [0.0] + [float("-inf")] * n
-        unigram = self.kind == "unigram"
-        at = 1
-
-        def settle(end: int) -> None:
-            """Characters up to end that no piece ends at."""
-            nonlocal at
-            while at <= end:
-                if not reached[at]:
-                    reached[at] = True
-                    total[at] = total[at - 1] - 1e9
-                at += 1
-
-        for end, (i, length) in self.automaton.iter(text):
-            end += 1
-            settle(end - 1)
-            start = end - length
-            if unigram:
-                score = total[start] + self.scores[i]
-                if score > total[end]:
-                    total[end], last[end], size[end], reached[end] = score, i, length, True
-            elif not reached[end] and (start == 0 or last[start] < 0 or self.stays(last[start], i)):
-                last[end], size[end], reached[end] = i, length, True
-        settle(n)
-        out, k = [], n
+        last = (self._greatest_sum if self.kind == "unigram" else self._merge_path)(text)
+        out, k, lengths = [], len(text), self.lengths
         while k > 0:
-            out.append(last[k])
-            k -= size[k]
+            i = last[k]
+            out.append(i)
+            k -= lengths[i] if i >= 0 else 1
         return out[::-1]
 
+    def _merge_path(self, text: str) -> list[int]:
+        """The piece that reaches each position by merges; a place that none reaches ends an unknown character."""
+        last, known = [-1] * (len(text) + 1), self.pairs
+        for end, (i, length) in self.automaton.iter(text):
+            if last[end + 1] < 0:
+                before = last[end + 1 - length]
+                if before >= 0:
+                    ok = known.get(before << 20 | i)
+                    if not (self.stays(before, i) if ok is None else ok):
+                        continue
+                last[end + 1] = i
+        return last
+
+    def _greatest_sum(self, text: str) -> list[int]:
+        """The last piece of the greatest sum of scores up to each position."""
+        last, total, at = [-1] * (len(text) + 1), [0.0] + [float("-inf")] * len(text), 1
+        for end, (i, length) in self.automaton.iter(text):
+            while at <= end:  # places that no piece ends at
+                total[at] = max(total[at], total[at - 1] + UNKNOWN_SCORE)
+                at += 1
+            score = total[end + 1 - length] + self.scores[i]
+            if score > total[end + 1]:
+                total[end + 1], last[end + 1] = score, i
+        return last
+
     def word(self, text: str) -> bytes:
         """Ids of a stretch of normalised text, as little-endian 32-bit integers."""
         known = self.words.get(text)
@@ -125,7 +127,7 @@ class Pieces:
                 data = text[k].encode("utf-8", "replace")
                 ids += [self.bytes[b] for b in data] if self.bytes else [self.unknown]
                 k += 1
-        out = np.asarray(ids, "<u4").tobytes()
+        out = array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
         if len(text) <= CACHE_CHARS:
             if len(self.words) > CACHE_WORDS:
                 self.words.clear()
