@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -22,12 +23,13 @@ from .shared import bounded, cut, salt_of
 SCALES, CORNERS = (1.0, 0.7, 0.5), 20
 #: Half width of the patch of the binary tests, and of the neighbourhood of the direction.
 REACH, DISC = 13, 9
-#: Key bits of each table; two descriptors at distance 12 share a table in four of five cases, and an image has dozens.
-TABLES, KEY_BITS = 8, 36
+#: Each table's key is one of the eight words of 32 tests: within distance 7 two descriptors always share one; at 12,
+#: four of five do, and an image has dozens.
+TABLES = 8
 #: Hamming distance of matching descriptors; corners that must agree on a transform.
-DISTANCE, VOTES = 36, 5
-#: Sizes of the votes' cells: radians, logarithm of scale, pixels; cells overlap by half.
-TURN, ZOOM, SHIFT = 0.5, 0.4, 20.0
+DISTANCE, VOTES = 28, 6
+#: How far transforms may be apart that agree: radians, logarithm of scale, pixels.
+TURN, ZOOM, SHIFT = 0.25, 0.2, 8.0
 SALTS = 32
 
 
@@ -86,12 +88,7 @@ def _pattern() -> np.ndarray:
     return points[(np.hypot(points[..., 0], points[..., 1]) < REACH - 1).all(axis=1)][:256]
 
 
-def _key_bits() -> np.ndarray:
-    r = np.random.default_rng(43)
-    return np.stack([r.choice(256, KEY_BITS, replace=False) for _ in range(TABLES)])
-
-
-PATTERN, BITS = _pattern(), _key_bits()
+PATTERN = _pattern()
 _Y, _X = np.nonzero((np.mgrid[-DISC : DISC + 1, -DISC : DISC + 1] ** 2).sum(axis=0) <= DISC**2)
 _Y, _X = _Y - DISC, _X - DISC
 
@@ -132,13 +129,12 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(tests)
 
 
-DESCRIPTORS = "rep long, corner int, x float, y float, angle float, size float, d0 long, d1 long, d2 long, d3 long, keys array<long>"
+DESCRIPTORS = "rep long, corner int, x float, y float, angle float, size float, d0 long, d1 long, d2 long, d3 long"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    weights = np.int64(1) << np.arange(KEY_BITS, dtype=np.int64)
     for batch in batches:
-        reps, corners, places, words, keys = [], [], [], [], []
+        reps, corners, places, words = [], [], [], []
         for rep, data in zip(batch.column("rep").to_pylist(), batch.column("image").to_pylist()):
             image = read_image(data)
             if image is None:
@@ -148,13 +144,36 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             corners.append(np.arange(len(p), dtype=np.int32))
             places.append(p.astype(np.float32))
             words.append(np.packbits(t, axis=1).view(np.int64))
-            keys.append((t[:, BITS] * weights).sum(axis=2) * TABLES + np.arange(TABLES))
         if not reps:
             continue
-        p, d, k = np.concatenate(places), np.concatenate(words), np.concatenate(keys)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * TABLES), pa.array(k.ravel()))
+        p, d = np.concatenate(places), np.concatenate(words)
         columns = [np.concatenate(reps), np.concatenate(corners), *p.T, *d.T]
-        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), lists], names=["rep", "corner", "x", "y", "angle", "size", "d0", "d1", "d2", "d3", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["rep", "corner", "x", "y", "angle", "size", "d0", "d1", "d2", "d3"])
+
+
+def _words(prefix: str) -> list[Column]:
+    """The eight words of 32 tests."""
+    halves = [(F.shiftrightunsigned(F.col(f"{prefix}{i}"), 32), F.col(f"{prefix}{i}").bitwiseAND(F.lit(0xFFFFFFFF))) for i in range(4)]
+    return [w for pair in halves for w in pair]
+
+
+def _keys() -> Column:
+    """Each word with the number of its table."""
+    return F.array(*(word * TABLES + t for t, word in enumerate(_words("d"))))
+
+
+def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each pair of images the most corners of the query that agree with one match's transform."""
+    for pdf in batches:
+        votes = []
+        for found in pdf["found"]:
+            corner = np.array([m["q_corner"] for m in found])
+            turn, zoom, right, down = (np.array([m[n] for m in found]) for n in ("turn", "zoom", "right", "down"))
+            apart = np.abs(turn[:, None] - turn[None, :])
+            near = (np.minimum(apart, 2 * np.pi - apart) <= TURN) & (np.abs(zoom[:, None] - zoom[None, :]) <= ZOOM)
+            near &= np.hypot(right[:, None] - right[None, :], down[:, None] - down[None, :]) <= SHIFT
+            votes.append(max(len(np.unique(corner[row])) for row in near))
+        yield pd.DataFrame({"q_rep": pdf["q_rep"], "rep": pdf["rep"], "votes": votes})
 
 
 def find_copies(images: DataFrame, is_query: Column) -> DataFrame:
@@ -166,35 +185,36 @@ def find_copies(images: DataFrame, is_query: Column) -> DataFrame:
     have no matches; without id or image no copy_id either.  Repeated rows count as copies.
     """
     rows = images.select(F.col("image_id").cast("long").alias("image_id"), F.col("image").cast("binary").alias("image"))
-    rows = rows.withColumns({"image_key": F.sha2("image", 256), "asked": F.coalesce(is_query, F.lit(False)), "salt": F.coalesce(salt_of("image_id", SALTS), F.lit(0))})
-    rows = cut(rows)
-    known = rows.where("image_id is not null and image is not null")
+    asked = F.coalesce(is_query, F.lit(False))
+    marks = cut(rows.select("image_id", F.sha2("image", 256).alias("image_key"), asked.alias("asked"), F.coalesce(salt_of("image_id", SALTS), F.lit(0)).alias("salt")))
+    known = marks.where("image_id is not null and image_key is not null")
     parts = known.groupBy("image_key", "salt").agg(F.min("image_id").alias("rep"), F.count("*").alias("n"), F.max("asked").alias("asked"))
     reps = cut(parts.groupBy("image_key").agg(F.min("rep").alias("rep"), F.sum("n").alias("n_copies"), F.max("asked").alias("asked")))
     named = cut(parts.select("image_key", "salt").join(reps, "image_key"))
-    keyed = rows.join(F.broadcast(named) if bounded(named) else named, ["image_key", "salt"], "left")
-    once = keyed.where("image_id = rep").select("rep", "image").dropDuplicates(["rep"])
+    keyed = marks.join(F.broadcast(named) if bounded(named) else named, ["image_key", "salt"], "left")
+    first = reps.select("rep")
+    once = rows.join(F.broadcast(first) if bounded(first) else first, F.col("image_id") == F.col("rep"))
+    twice = known.groupBy("image_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    once = once.dropDuplicates(["rep"]) if twice else once  # images are shuffled only where ids are repeated
     described = cut(once.mapInArrow(_describe, DESCRIPTORS))
 
-    asked = described.join(reps.where("asked").select("rep"), "rep", "left_semi")
-    ours = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("rep", "corner", "x", "y", "angle", "size", "d0", "d1", "d2", "d3")), F.explode("keys").alias("key"))
-    theirs = described.select("rep", "corner", "x", "y", "angle", "size", "d0", "d1", "d2", "d3", F.explode("keys").alias("key"))
+    wanted = described.join(reps.where("asked").select("rep"), "rep", "left_semi")
+    ours = wanted.select(*(F.col(c).alias(f"q_{c}") for c in ("rep", "corner", "x", "y", "angle", "size", "d0", "d1", "d2", "d3")), F.explode(_keys()).alias("key"))
+    theirs = described.select("rep", "corner", "x", "y", "angle", "size", "d0", "d1", "d2", "d3", F.explode(_keys()).alias("key"))
     met = theirs.join(F.broadcast(ours) if bounded(ours) else ours, "key").where("rep <> q_rep")
     apart = sum((F.bit_count(F.col(f"d{i}").bitwiseXOR(F.col(f"q_d{i}"))) for i in range(4)), F.lit(0))
-    turn = F.col("q_angle") - F.col("angle")
+    words, theirs_first = _words("q_d"), F.lit(TABLES)
+    for t, (w, q) in reversed(list(enumerate(zip(_words("d"), words)))):
+        theirs_first = F.when(w == q, t).otherwise(theirs_first)
+    turn = F.pmod(F.col("q_angle") - F.col("angle"), F.lit(2 * np.pi))
     zoom = F.col("q_size") / F.col("size")
     right = F.col("q_x") - zoom * (F.col("x") * F.cos(turn) - F.col("y") * F.sin(turn))
     down = F.col("q_y") - zoom * (F.col("x") * F.sin(turn) + F.col("y") * F.cos(turn))
-    met = met.where(apart <= DISTANCE).select("q_rep", "rep", "q_corner", "corner", F.pmod(turn, F.lit(2 * np.pi)).alias("turn"), F.log(zoom).alias("zoom"), right.alias("right"), down.alias("down"))
-
-    def cells(value: Column, size: float) -> Column:
-        at = F.floor(value / (size / 2))
-        return F.array(at, at - 1)  # of width size, beginning every half
-
-    votes = met.withColumn("a", F.explode(F.transform(cells(F.col("turn"), TURN), lambda c: F.pmod(c, F.lit(round(4 * np.pi / TURN))))))
-    votes = votes.withColumn("b", F.explode(cells(F.col("zoom"), ZOOM))).withColumn("c", F.explode(cells(F.col("right"), SHIFT))).withColumn("d", F.explode(cells(F.col("down"), SHIFT)))
-    agreed = votes.groupBy("q_rep", "rep", "a", "b", "c", "d", "q_corner").agg(F.lit(1).alias("one")).groupBy("q_rep", "rep", "a", "b", "c", "d").agg(F.count("*").alias("votes"))
-    pairs = agreed.groupBy("q_rep", "rep").agg(F.max("votes").alias("votes")).where(F.col("votes") >= VOTES)
+    # two descriptors that share several tables meet in the first of them
+    met = met.where((apart <= DISTANCE) & (F.col("key") % TABLES == theirs_first))
+    match = F.struct("q_corner", *(c.cast("float").alias(n) for c, n in ((turn, "turn"), (F.log(zoom), "zoom"), (right, "right"), (down, "down"))))
+    listed = met.groupBy("q_rep", "rep").agg(F.collect_list(match).alias("found"))  # at most corners times corners
+    pairs = listed.where(F.size("found") >= VOTES).mapInPandas(_agree, "q_rep long, rep long, votes long").where(F.col("votes") >= VOTES)
     lists = cut(pairs.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.col("q_rep").alias("copy_id"), "votes"))).alias("matches")))
     out = cut(keyed.select("image_id", F.col("rep").alias("copy_id"), "n_copies"))
     few = bounded(lists)
@@ -208,17 +228,16 @@ def find_copies(images: DataFrame, is_query: Column) -> DataFrame:
 
 
 def render(vectors: DataFrame, side: int = 96) -> DataFrame:
-    """image_id and a PGM image of each row of vectors(vec_id, embedding): its numbers as the brightness of a square
-    grid, drawn smoothly.  Tables here hold no pictures; these stand for them.  A null or empty vector has none."""
+    """image_id and a PGM image of each row of vectors(vec_id, embedding): a smooth texture drawn from a digest of its
+    numbers, the same for the same vector and unlike for any other.  Tables here hold no pictures; these stand for
+    them.  A null or empty vector has none."""
 
     def draw(v: list | None) -> bytes | None:
         if not v:
             return None
-        n = int(np.ceil(np.sqrt(len(v))))
-        grid = np.zeros(n * n, np.float32)
-        grid[: len(v)] = np.nan_to_num(np.array([0.0 if x is None else x for x in v], np.float32))
-        spread = np.abs(grid).max() or 1.0
-        return write_image(resize(grid.reshape(n, n) / spread * 120 + 128, side, side))
+        numbers = np.array([np.nan if x is None else x for x in v], "<f4")
+        grid = np.random.default_rng(xxhash.xxh64_intdigest(numbers.tobytes())).uniform(16, 240, (8, 8))
+        return write_image(resize(grid, side, side))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
