@@ -133,7 +133,7 @@ DESCRIPTORS = "rep long, corner int, x float, y float, angle float, size float,
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(i, 250) for b in batches for i in range(0, len(b), 250)):
         reps, corners, places, words = [], [], [], []
         for rep, data in zip(batch.column("rep").to_pylist(), batch.column("image").to_pylist()):
             image = read_image(data)
