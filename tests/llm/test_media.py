@@ -38,3 +38,12 @@ def test_vectors_are_drawn(spark):
     rows = spark.createDataFrame([(1, [0.5, -0.5, 0.1, 0.2]), (2, None), (3, []), (4, [None, float("nan")])], "vec_id long, embedding array<float>")
     got = {r.image_id: r.image for r in render(rows).collect()}
     assert read_image(bytes(got[1])).shape == (96, 96) and got[2] is None and got[3] is None and got[4] is not None
+
+
+def test_near_vectors_give_near_pictures(spark):
+    r = np.random.default_rng(5)
+    base = r.normal(size=64)
+    near = [base, base + r.normal(0, 0.1, 64), base + r.normal(0, 0.1, 64)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*near, *r.normal(size=(30, 64))])]
+    got = {x.image_id: [m.copy_id for m in x.matches] for x in find_copies(render(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), F.col("image_id") == 0).collect()}
+    assert got == {i: [0] if i in (1, 2) else [] for i in range(33)}

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +30,8 @@ DISTANCE, VOTES = 28, 6
 #: How far transforms may be apart that agree: radians, logarithm of scale, pixels.
 TURN, ZOOM, SHIFT = 0.25, 0.2, 8.0
 SALTS = 32
+#: Side of the grid of random numbers that a texture of render() is drawn from.
+GRAIN = 32
 
 
 def read_image(data: bytes | None) -> np.ndarray | None:
@@ -227,19 +228,28 @@ def find_copies(images: DataFrame, is_query: Column) -> DataFrame:
     return out.select("image_id", "copy_id", "n_copies", F.coalesce("matches", empty).alias("matches"))
 
 
-def render(vectors: DataFrame, side: int = 96) -> DataFrame:
-    """image_id and a PGM image of each row of vectors(vec_id, embedding): a smooth texture drawn from a digest of its
-    numbers, the same for the same vector and unlike for any other.  Tables here hold no pictures; these stand for
-    them.  A null or empty vector has none."""
+def _motifs(numbers: int, side: int) -> np.ndarray:
+    """For each number of a vector the texture that it weighs, each one the same whatever the vectors' length."""
+    return np.stack([resize(np.random.default_rng(i).normal(size=(GRAIN, GRAIN)), side, side) for i in range(numbers)])
+
 
-    def draw(v: list | None) -> bytes | None:
-        if not v:
-            return None
-        numbers = np.array([np.nan if x is None else x for x in v], "<f4")
-        grid = np.random.default_rng(xxhash.xxh64_intdigest(numbers.tobytes())).uniform(16, 240, (8, 8))
-        return write_image(resize(grid, side, side))
+def render(vectors: DataFrame, side: int = 96) -> DataFrame:
+    """image_id and a PGM image of each row of vectors(vec_id, embedding): the sum of fixed textures weighted by its
+    numbers, so that near vectors give near pictures, and equal ones equal pictures.  Tables here hold no pictures;
+    these stand for them.  A missing or undefined number is 0; a null or empty vector has no picture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+
+        def draw(v: list | None) -> bytes | None:
+            if not v:
+                return None
+            if len(v) not in held:
+                held[len(v)] = _motifs(len(v), side)
+            numbers = np.nan_to_num(np.array([0.0 if x is None else x for x in v]), posinf=0.0, neginf=0.0)
+            size = np.sqrt((numbers**2).sum()) or 1.0
+            return write_image(np.tensordot(numbers / size, held[len(v)], 1) * 50 + 128)
+
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 part = batch.slice(i, 1000)
