@@ -1,34 +1,41 @@
 """Copies of images, cropped or edited ones too, by local descriptors.
 
 Corners are found at several scales.  Each gets a direction, from its neighbourhood's centre of brightness, and 256
-binary tests turned into that direction.  Tables of key bits bring descriptors within a small Hamming distance
-together by equi-joins.  Matches vote for the similarity transform that they imply, and a pair of images stands
-when enough corners agree on one.  Images of the same bytes are one; queries are searched against all images.
+binary tests turned into that direction.  Tables of key bits, probed with each bit turned, bring descriptors within a
+small Hamming distance together: the queries' in blocks of bounded size, each against all images where they lie, so
+that no image is shuffled and one that many share is work for all tasks.  Matches vote for the similarity transform
+that they imply, and a pair of images stands when enough corners agree on one.  Images of the same bytes are one;
+queries are searched against all images.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded, cut, salt_of
 
 #: Scales of the image, and corners kept at each.
-SCALES, CORNERS = (1.0, 0.7, 0.5), 20
+SCALES, CORNERS, RESPONSE = (1.0, 0.7, 0.5), 20, 1e-3
 #: Half width of the patch of the binary tests, and of the neighbourhood of the direction.
 REACH, DISC = 13, 9
-#: Each table's key is one of the eight words of 32 tests: within distance 7 two descriptors always share one; at 12,
-#: four of five do, and an image has dozens.
-TABLES = 8
+#: Each table's key is a word of so many tests, and words that differ in one test meet too: within distance 19 two
+#: descriptors always meet; of those whose tests differ at random, 95 of 100 do at 28 and 76 of 100 at 36.
+TABLES, BITS = 10, 24
 #: Hamming distance of matching descriptors; corners that must agree on a transform.
-DISTANCE, VOTES = 28, 6
+DISTANCE, VOTES = 36, 5
 #: How far transforms may be apart that agree: radians, logarithm of scale, pixels.
-TURN, ZOOM, SHIFT = 0.25, 0.2, 8.0
+TURN, ZOOM, SHIFT = 0.5, 0.4, 20.0
+#: How many pixels corners may then be off the transforms that are fitted in turn.
+SLIPS = (8.0, 4.0, 3.0)
+#: Corners of queries that are searched at once, and meetings that are compared at once.
+BLOCK, MEETINGS = 20_000, 500_000
 SALTS = 32
 #: Side of the grid of random numbers that a texture of render() is drawn from.
 GRAIN = 32
@@ -107,12 +114,13 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         corner = xx * yy - xy * xy - 0.04 * (xx + yy) ** 2
         peak = corner.copy()
-        for dy in range(-2, 3):
-            for dx in range(-2, 3):
-                np.maximum(peak, np.roll(corner, (dy, dx), (0, 1)), out=peak)
+        for axis in (0, 1):
+            line = peak.copy()
+            for d in (-2, -1, 1, 2):
+                np.maximum(peak, np.roll(line, d, axis), out=peak)
         inside = np.zeros_like(corner, bool)
         inside[REACH : h - REACH, REACH : w - REACH] = True
-        y, x = np.nonzero((corner == peak) & inside & (corner > 1e-3))
+        y, x = np.nonzero((corner == peak) & inside & (corner > RESPONSE))
         best = np.lexsort((x, y, -corner[y, x]))[:CORNERS]
         y, x = y[best], x[best]
         if not len(y):
@@ -130,51 +138,167 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(tests)
 
 
-DESCRIPTORS = "rep long, corner int, x float, y float, angle float, size float, d0 long, d1 long, d2 long, d3 long"
-
-
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each image its corners as 4 floats, and their tests as 4 words of 64 bits."""
     for batch in (b.slice(i, 250) for b in batches for i in range(0, len(b), 250)):
-        reps, corners, places, words = [], [], [], []
+        reps, places, words = [], [], []
         for rep, data in zip(batch.column("rep").to_pylist(), batch.column("image").to_pylist()):
             image = read_image(data)
-            if image is None:
-                continue
-            p, t = describe(image)
-            reps.append(np.full(len(p), rep))
-            corners.append(np.arange(len(p), dtype=np.int32))
-            places.append(p.astype(np.float32))
-            words.append(np.packbits(t, axis=1).view(np.int64))
-        if not reps:
-            continue
-        p, d = np.concatenate(places), np.concatenate(words)
-        columns = [np.concatenate(reps), np.concatenate(corners), *p.T, *d.T]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["rep", "corner", "x", "y", "angle", "size", "d0", "d1", "d2", "d3"])
-
-
-def _words(prefix: str) -> list[Column]:
-    """The eight words of 32 tests."""
-    halves = [(F.shiftrightunsigned(F.col(f"{prefix}{i}"), 32), F.col(f"{prefix}{i}").bitwiseAND(F.lit(0xFFFFFFFF))) for i in range(4)]
-    return [w for pair in halves for w in pair]
-
+            p, t = describe(image) if image is not None else ((), ())
+            if len(p):
+                reps.append(rep)
+                places.append(p.astype(np.float32).tobytes())
+                words.append(np.packbits(t, axis=1).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(places, pa.binary()), pa.array(words, pa.binary())], names=["rep", "places", "words"])
+
+
+def _keys(words: np.ndarray) -> list[np.ndarray]:
+    """The word of each table."""
+    b = words.view(np.uint8).reshape(len(words), 32).astype(np.int32)
+    return [b[:, 3 * t] << 16 | b[:, 3 * t + 1] << 8 | b[:, 3 * t + 2] for t in range(TABLES)]
+
+
+def _tables(words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each table which keys are there, all keys in order, and the descriptor of each."""
+    turned = np.array([0, *(1 << i for i in range(BITS))], np.int32)
+    out = []
+    for key in _keys(words):
+        every = (key[:, None] ^ turned).reshape(-1)
+        order = np.argsort(every, kind="stable")
+        there = np.zeros(1 << BITS, bool)
+        there[every] = True
+        out.append((np.packbits(there), every[order], (order // len(turned)).astype(np.int32)))
+    return out
+
+
+def matches(tables: list, wanted: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of descriptors of wanted, whose tables are given, and of words that meet within DISTANCE, each once."""
+    found = [np.empty(0, np.int64)]
+    for (there, keys, which), key in zip(tables, _keys(words)):
+        row = np.flatnonzero(there[key >> 3] >> (7 - (key & 7)).astype(np.uint8) & 1)
+        low = np.searchsorted(keys, key[row])
+        n = np.searchsorted(keys, key[row], "right") - low
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(row):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MEETINGS, "right")))
+            m = n[at:to]
+            place = np.repeat(low[at:to] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            q, r = which[place], np.repeat(row[at:to], m)
+            near = np.bitwise_count(wanted[q] ^ words[r]).sum(axis=1, dtype=np.int32) <= DISTANCE
+            found.append(q[near].astype(np.int64) * len(words) + r[near])
+            at = to
+    pairs = np.unique(np.concatenate(found))
+    return pairs // max(1, len(words)), pairs % max(1, len(words))
+
+
+def least_votes(q: np.ndarray) -> float:
+    """VOTES, or where very many corners match, eight times the matches that chance puts where a transform does."""
+    area = max(1.0, float(np.prod(q[:, :2].max(axis=0) - q[:, :2].min(axis=0))))
+    return max(VOTES, 3 + 8 * len(q) * np.pi * SLIPS[-1] ** 2 / area)
+
+
+def agreeing(q: np.ndarray, p: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> int:
+    """The most corners, different ones on both sides, whose matches agree with one transform.
+
+    Matches, places q and p, that are about the transform of one match are fitted by least squares, and so again are
+    those that the fit puts right, ever more closely.  0 if they are too few to tell from chance.
+    """
+    turn, zoom = q[:, 2] - p[:, 2], np.log(q[:, 3] / p[:, 3])
+    x, y = p[:, 0] + 1j * p[:, 1], q[:, 0] + 1j * q[:, 1]
+    right, down = (lambda z: (z.real, z.imag))(y - np.exp(zoom + 1j * turn) * x)
+    order = np.argsort(right)  # a match is compared with those whose shift is near
+    x, y, turn, zoom, mine, theirs, right, down = (v[order] for v in (x, y, turn, zoom, mine, theirs, right, down))
+    by_mine, by_theirs = np.argsort(mine, kind="stable"), np.argsort(theirs, kind="stable")
+    of_mine, of_theirs = np.flatnonzero(np.diff(mine[by_mine], prepend=-1)), np.flatnonzero(np.diff(theirs[by_theirs], prepend=-1))
+    step, most, need, enough = max(1, 1_000_000 // len(q)), 0, least_votes(q), []
+    for i in range(0, len(q), 100):
+        one = slice(i, i + 100)
+        c = slice(np.searchsorted(right, right[i] - SHIFT), np.searchsorted(right, right[one][-1] + SHIFT, "right"))
+        near = np.hypot(right[one, None] - right[c], down[one, None] - down[c]) <= SHIFT
+        near &= np.abs((turn[one, None] - turn[c] + np.pi) % (2 * np.pi) - np.pi) <= TURN
+        near &= np.abs(zoom[one, None] - zoom[c]) <= ZOOM
+        enough.append(i + np.flatnonzero(near.sum(axis=1) >= need))
+    anchors = np.concatenate(enough)
+    for i in range(0, len(anchors), step):
+        one = anchors[i : i + step]
+        by = np.exp(zoom[one] + 1j * turn[one])
+        shift = y[one] - by * x[one]
+        for slip in (SHIFT, *SLIPS):
+            apart = np.abs((turn - np.angle(by)[:, None] + np.pi) % (2 * np.pi) - np.pi)
+            near = (apart <= TURN) & (np.abs(zoom - np.log(np.maximum(np.abs(by), 1e-9))[:, None]) <= ZOOM)
+            near &= np.abs(y - by[:, None] * x - shift[:, None]) <= slip
+            enough = near.sum(axis=1) >= need
+            near, by, shift = near[enough], by[enough], shift[enough]
+            if not len(by):
+                break
+            w = near.astype(float)
+            n = np.maximum(w.sum(axis=1), 1)
+            mx, my = w @ x / n, w @ y / n
+            spread = w @ np.abs(x) ** 2 / n - np.abs(mx) ** 2
+            fit = (w @ (x.conj() * y) / n - mx.conj() * my) / np.maximum(spread, 1e-9)
+            by = np.where(spread > 1, fit, by)
+            shift = my - by * mx
+        votes = np.minimum(np.logical_or.reduceat(near[:, by_mine], of_mine, axis=1).sum(axis=1), np.logical_or.reduceat(near[:, by_theirs], of_theirs, axis=1).sum(axis=1))
+        most = max(most, int(votes.max(initial=0)))
+    return most if most >= need else 0
+
+
+_HELD: dict[str, list] = {}
+
+
+def _search(block: Broadcast, name: str) -> Callable:
+    """Pairs of a query of the block and an image, with the corners that agree."""
 
-def _keys() -> Column:
-    """Each word with the number of its table."""
-    return F.array(*(word * TABLES + t for t, word in enumerate(_words("d"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, sizes, places, words = block.value
+        if name not in _HELD:  # a worker's tasks share the tables
+            _HELD.clear()
+            _HELD[name] = _tables(words)
+        query = np.repeat(np.arange(len(reps)), sizes)
+        for batch in (b.slice(i, 250) for b in batches for i in range(0, len(b), 250)):
+            data = batch.column("words").to_pylist()
+            theirs = np.frombuffer(b"".join(data), np.uint64).reshape(-1, 4)
+            spots = np.frombuffer(b"".join(batch.column("places").to_pylist()), np.float32).reshape(-1, 4)
+            image = np.repeat(np.arange(len(data)), [len(d) // 32 for d in data])
+            q, r = matches(_HELD[name], words, theirs)
+            pair = query[q] * len(data) + image[r]
+            order = np.argsort(pair, kind="stable")
+            q, r, pair = q[order], r[order], pair[order]
+            starts = np.flatnonzero(np.diff(pair, prepend=-1))
+            ids, out = batch.column("rep").to_pylist(), []
+            for a, b in zip(starts, [*starts[1:], len(pair)]):
+                mine, other = int(reps[query[q[a]]]), ids[image[r[a]]]
+                if b - a >= VOTES and mine != other:
+                    votes = agreeing(places[q[a:b]].astype(float), spots[r[a:b]].astype(float), q[a:b], r[a:b])
+                    if votes:
+                        out.append((mine, other, votes))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["q_rep", "rep", "votes"])
+
+    return run
+
+
+def _pairs(described: DataFrame, asked: DataFrame) -> DataFrame:
+    """q_rep, rep, votes; the queries' descriptors go out by blocks, whose number grows with them, not their size."""
+    spark = described.sparkSession
+    wanted = cut(described.join(asked, "rep", "left_semi"))
+    corners = wanted.agg(F.sum(F.expr("length(words) div 32"))).first()[0] or 0
+    blocks = -(-corners // BLOCK)
+    found = None
+    for k in range(blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == k).collect()
+        words = [np.frombuffer(bytes(r.words), np.uint64).reshape(-1, 4) for r in rows]
+        if not rows:
+            continue
+        places = np.concatenate([np.frombuffer(bytes(r.places), np.float32).reshape(-1, 4) for r in rows])
+        block = spark.sparkContext.broadcast((np.array([r.rep for r in rows]), np.array([len(w) for w in words]), places, np.concatenate(words)))
+        more = cut(described.select("rep", "places", "words").mapInArrow(_search(block, uuid.uuid4().hex), PAIR))
+        block.unpersist()
+        found = more if found is None else found.union(more)
+    return spark.createDataFrame([], PAIR) if found is None else found
 
 
-def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each pair of images the most corners of the query that agree with one match's transform."""
-    for pdf in batches:
-        votes = []
-        for found in pdf["found"]:
-            corner = np.array([m["q_corner"] for m in found])
-            turn, zoom, right, down = (np.array([m[n] for m in found]) for n in ("turn", "zoom", "right", "down"))
-            apart = np.abs(turn[:, None] - turn[None, :])
-            near = (np.minimum(apart, 2 * np.pi - apart) <= TURN) & (np.abs(zoom[:, None] - zoom[None, :]) <= ZOOM)
-            near &= np.hypot(right[:, None] - right[None, :], down[:, None] - down[None, :]) <= SHIFT
-            votes.append(max(len(np.unique(corner[row])) for row in near))
-        yield pd.DataFrame({"q_rep": pdf["q_rep"], "rep": pdf["rep"], "votes": votes})
+PAIR = "q_rep long, rep long, votes long"
 
 
 def find_copies(images: DataFrame, is_query: Column) -> DataFrame:
@@ -197,25 +321,8 @@ def find_copies(images: DataFrame, is_query: Column) -> DataFrame:
     once = rows.join(F.broadcast(first) if bounded(first) else first, F.col("image_id") == F.col("rep"))
     twice = known.groupBy("image_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     once = once.dropDuplicates(["rep"]) if twice else once  # images are shuffled only where ids are repeated
-    described = cut(once.mapInArrow(_describe, DESCRIPTORS))
-
-    wanted = described.join(reps.where("asked").select("rep"), "rep", "left_semi")
-    ours = wanted.select(*(F.col(c).alias(f"q_{c}") for c in ("rep", "corner", "x", "y", "angle", "size", "d0", "d1", "d2", "d3")), F.explode(_keys()).alias("key"))
-    theirs = described.select("rep", "corner", "x", "y", "angle", "size", "d0", "d1", "d2", "d3", F.explode(_keys()).alias("key"))
-    met = theirs.join(F.broadcast(ours) if bounded(ours) else ours, "key").where("rep <> q_rep")
-    apart = sum((F.bit_count(F.col(f"d{i}").bitwiseXOR(F.col(f"q_d{i}"))) for i in range(4)), F.lit(0))
-    words, theirs_first = _words("q_d"), F.lit(TABLES)
-    for t, (w, q) in reversed(list(enumerate(zip(_words("d"), words)))):
-        theirs_first = F.when(w == q, t).otherwise(theirs_first)
-    turn = F.pmod(F.col("q_angle") - F.col("angle"), F.lit(2 * np.pi))
-    zoom = F.col("q_size") / F.col("size")
-    right = F.col("q_x") - zoom * (F.col("x") * F.cos(turn) - F.col("y") * F.sin(turn))
-    down = F.col("q_y") - zoom * (F.col("x") * F.sin(turn) + F.col("y") * F.cos(turn))
-    # two descriptors that share several tables meet in the first of them
-    met = met.where((apart <= DISTANCE) & (F.col("key") % TABLES == theirs_first))
-    match = F.struct("q_corner", *(c.cast("float").alias(n) for c, n in ((turn, "turn"), (F.log(zoom), "zoom"), (right, "right"), (down, "down"))))
-    listed = met.groupBy("q_rep", "rep").agg(F.collect_list(match).alias("found"))  # at most corners times corners
-    pairs = listed.where(F.size("found") >= VOTES).mapInPandas(_agree, "q_rep long, rep long, votes long").where(F.col("votes") >= VOTES)
+    described = cut(once.mapInArrow(_describe, "rep long, places binary, words binary"))
+    pairs = _pairs(described, reps.where("asked").select("rep"))
     lists = cut(pairs.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.col("q_rep").alias("copy_id"), "votes"))).alias("matches")))
     out = cut(keyed.select("image_id", F.col("rep").alias("copy_id"), "n_copies"))
     few = bounded(lists)
