@@ -55,6 +55,15 @@ def test_tables_find_what_brute_force_finds():
         assert (q == p).sum() >= least * len(base)
 
 
+def test_small_crops_of_large_pictures(spark):
+    r = np.random.default_rng(7)
+    base = resize(r.uniform(20, 235, (60, 60)), 480, 480)
+    rows = [(0, base), (1, base[100:250, 180:330]), (2, base[300:420, 20:140]), *((10 + i, resize(r.uniform(20, 235, (60, 60)), 480, 480)) for i in range(4))]
+    images = spark.createDataFrame([(i, bytearray(write_image(p))) for i, p in rows], "image_id long, image binary")
+    got = {x.image_id: [m.copy_id for m in x.matches] for x in find_copies(images, F.col("image_id") == 0).collect()}
+    assert got[1] == got[2] == [0] and not any(got[10 + i] for i in range(4))
+
+
 def test_near_vectors_give_near_pictures(spark):
     r = np.random.default_rng(5)
     base = r.normal(size=64)

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import bounded, cut, salt_of
 
-#: Scales of the image, and corners kept at each.
-SCALES, CORNERS, RESPONSE = (1.0, 0.7, 0.5), 20, 1e-3
+#: Scales of the image; at each, every corner above this response is kept.
+SCALES, RESPONSE = (1.0, 0.7, 0.5), 1e-3
 #: Half width of the patch of the binary tests, and of the neighbourhood of the direction.
 REACH, DISC = 13, 9
 #: Each table's key is a word of so many tests, and words that differ in one test meet too: within distance 19 two
@@ -121,8 +121,6 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inside = np.zeros_like(corner, bool)
         inside[REACH : h - REACH, REACH : w - REACH] = True
         y, x = np.nonzero((corner == peak) & inside & (corner > RESPONSE))
-        best = np.lexsort((x, y, -corner[y, x]))[:CORNERS]
-        y, x = y[best], x[best]
         if not len(y):
             continue
         disc = a[y[:, None] + _Y, x[:, None] + _X]
