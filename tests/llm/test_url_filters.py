@@ -41,3 +41,15 @@ def test_templates_by_purity(spark):
     assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(400))
     assert got[1].template == "/buy/{id}/{number}" and got[0].template == "/read/{id}/{number}" and got[1000].template == "/buy/{id}/{number}.html"
     assert all(r.verdict == "allow" for r in filter_urls(pages).collect())
+
+
+def test_unlabelled_leaves_under_a_blocked_branch(spark):
+    """They are judged by the branch, several levels up, at either size; so is what lies beside it by itself."""
+    for n in (30, 300):
+        rows = [(i, f"https://h.org/{'buy' if i % 2 else 'read'}/a/b/{i}") for i in range(n)]
+        rows += [(10_000, "https://h.org/buy/new/x/y.html"), (10_001, "https://h.org/read/new/x/y.html"), (10_002, "https://h.org/buy/a"), (10_003, "https://other.org/buy/a/b/7")]
+        pages = spark.createDataFrame(rows, "page_id long, url string")
+        labels = pages.where("page_id < 10000").select("page_id", (F.col("page_id") % 2 == 1).alias("blocked"))
+        got = {r.page_id: r.verdict for r in filter_urls(pages, labels).collect()}
+        assert [got[10_000 + i] for i in range(4)] == ["block", "allow", "block", "allow"]
+        assert all(got[i] == ("block" if i % 2 else "allow") for i in range(n))

@@ -1,9 +1,10 @@
 """URL filters: listed rules first, then a tree of path templates for each host.
 
 Urls that a rule decides are the labelled ones.  Level by level, the segments that follow a template of a host are
-counted; a segment stays literal only where it is common enough among its siblings, else it becomes a wildcard of
-its shape.  Branches of one parent whose labelled shares don't differ statistically from the parent's are merged
-into it.  A template is rejected when enough of its labelled urls are blocked, smoothed towards its parent's share.
+counted; a segment stays literal only where it is common enough among its siblings, or where its labelled share
+differs from theirs, else it becomes a wildcard of its shape.  From the host down to the leaves each branch's share of
+blocked urls is smoothed towards its parent's; a branch without labels, or whose share doesn't differ statistically
+from its parent's, is merged into it and judged by the evidence of what it is merged into.
 All counts are grouped sums over host and template, salted where a host's rows must meet its templates again.
 """
 
@@ -18,8 +19,8 @@ from .shared import bounded, cut, let, salt_of
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Levels of the tree; what is deeper counts as one segment **.
 DEPTH = 6
-#: A segment stays literal with at least so many urls and this share of its siblings' urls.
-LEAST_URLS, LEAST_SHARE = 10, 0.02
+#: A segment stays literal with this share of its siblings' urls.
+LEAST_SHARE = 0.02
 #: Weight of the parent's share, labelled urls that a verdict needs, and the share from which a template goes.
 WEIGHT, LEAST_LABELS, PURITY = 5.0, 10, 0.8
 #: Standard errors up to which a branch doesn't differ from its parent.
@@ -76,37 +77,55 @@ def _meet(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("salt", salt_of(F.concat_ws("/", "segments"), SALTS)).join(dealt, [*keys, "salt"], "left").drop("salt")
 
 
+def _same(n: Column, k: Column, above: Column) -> Column:
+    """Whether k of n may be a sample of the share above; nothing at all may be."""
+    least = F.greatest(n, F.lit(1))
+    return (n == 0) | (F.abs(k / least - above) <= SAME * F.sqrt(above * (1 - above) / least))
+
+
 def templates(urls: DataFrame) -> DataFrame:
-    """host, segments, template for each different host and segments of urls(host, segments, ...)."""
-    rows = cut(urls.groupBy("host", "segments").agg(F.count("*").alias("n")).withColumn("template", F.lit("")))
+    """host, segments, template for each different host and segments of urls(host, segments, blocked, ...)."""
+    told = (F.count("blocked").alias("told"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0)).alias("k"))
+    rows = cut(urls.groupBy("host", "segments").agg(F.count("*").alias("n"), *told).withColumn("template", F.lit("")))
     deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
     for level in range(deepest):
         step = rows.withColumn("next", F.get("segments", F.lit(level)))
-        children = step.where("next is not null").groupBy("host", "template", "next").agg(F.sum("n").alias("urls"))
-        parents = children.groupBy("host", "template").agg(F.sum("urls").alias("all"))
+        children = step.where("next is not null").groupBy("host", "template", "next").agg(F.sum("n").alias("urls"), F.sum("told").alias("told"), F.sum("k").alias("k"))
+        parents = children.groupBy("host", "template").agg(F.sum("urls").alias("all"), ((F.sum("k") + 0.5) / (F.sum("told") + 1)).alias("above"))
         literal = _meet(children.withColumn("segments", F.array("next")), cut(parents), ["host", "template"])
-        literal = cut(literal.where((F.col("urls") >= LEAST_URLS) & (F.col("urls") >= LEAST_SHARE * F.col("all"))).select("host", "template", "next", F.lit(True).alias("literal")))
+        literal = cut(literal.where((F.col("urls") >= LEAST_SHARE * F.col("all")) | ~_same(F.col("told"), F.col("k"), F.col("above"))).select("host", "template", "next", F.lit(True).alias("literal")))
         step = _meet(step, literal, ["host", "template", "next"])
         shown = F.when(F.col("literal") | F.col("next").startswith("{") | (F.col("next") == "**"), F.col("next")).otherwise("{word}")
-        rows = cut(step.select("host", "segments", "n", F.when(F.col("next").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", shown)).alias("template")))
+        rows = cut(step.select("host", "segments", "n", "told", "k", F.when(F.col("next").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", shown)).alias("template")))
     return rows.select("host", "segments", "template")
 
 
 def judge(labelled: DataFrame) -> DataFrame:
-    """host, template, merged, purity, rejected from labelled(host, template, blocked; blocked may be null)."""
-    leaves = labelled.groupBy("host", "template").agg(F.count("blocked").alias("n"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0)).alias("k"))
-    leaves = cut(leaves.withColumn("parent", F.regexp_replace("template", "/[^/]*$", "")))
-    whole = leaves.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    """host, template, merged, purity, rejected from labelled(host, template, blocked; blocked may be null).
+
+    Level by level from the host: purity is smoothed towards the purity above; n is how many labels tell of the branch
+    that a template is merged into.
+    """
+    leaves = cut(labelled.groupBy("host", "template").agg(F.count("blocked").alias("n"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0)).alias("k")))
+    whole = leaves.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.max(F.size(F.split("template", "/"))).alias("depth")).first()
     prior = ((whole["k"] or 0) + 0.5) / ((whole["n"] or 0) + 1)
-    parents = cut(leaves.groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("k").alias("pk")))
-    joined = _meet(leaves.withColumn("segments", F.array("template")), parents, ["host", "parent"])
-    above = (F.col("pk") + WEIGHT * prior) / (F.col("pn") + WEIGHT)
-    joined = joined.withColumn("above", above)
-    error = F.sqrt(F.col("above") * (1 - F.col("above")) / F.greatest("n", F.lit(1)))
-    same = (F.col("n") > 0) & (F.abs(F.col("k") / F.greatest("n", F.lit(1)) - F.col("above")) <= SAME * error)
-    n, k = F.when(same, F.col("pn")).otherwise(F.col("n")), F.when(same, F.col("pk")).otherwise(F.col("k"))
-    purity = (k + WEIGHT * F.col("above")) / (n + WEIGHT)
-    return joined.select("host", "template", same.alias("merged"), purity.alias("purity"), ((n >= LEAST_LABELS) & (purity >= PURITY)).alias("rejected"))
+    above, done = None, None
+    for level in range(1, (whole["depth"] or 0) + 1):
+        at = leaves.where(F.size(F.split("template", "/")) >= level)
+        at = at.withColumn("node", F.substring_index("template", "/", level))
+        nodes = at.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.max(F.col("template") == F.col("node")).alias("leaf"))
+        if above is None:
+            same, p, group = F.lit(False), F.lit(prior), F.col("n")
+        else:
+            nodes = nodes.withColumn("parent", F.substring_index("node", "/", level - 1)).withColumn("segments", F.array("node"))
+            nodes = _meet(nodes, above, ["host", "parent"])
+            same, p, group = _same(F.col("n"), F.col("k"), F.col("above")), F.col("above"), F.col("above_n")
+        purity = F.when(same, p).otherwise((F.col("k") + WEIGHT * p) / (F.col("n") + WEIGHT))
+        nodes = cut(nodes.select("host", "node", "leaf", same.alias("merged"), purity.alias("purity"), F.when(same, group).otherwise(F.col("n")).alias("evidence")))
+        above = nodes.select("host", F.col("node").alias("parent"), F.col("purity").alias("above"), F.col("evidence").alias("above_n"))
+        ends = nodes.where("leaf").select("host", F.col("node").alias("template"), "merged", "purity", ((F.col("evidence") >= LEAST_LABELS) & (F.col("purity") >= PURITY)).alias("rejected"))
+        done = ends if done is None else done.union(ends)
+    return leaves.sparkSession.createDataFrame([], "host string, template string, merged boolean, purity double, rejected boolean") if done is None else done
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES) -> DataFrame:
@@ -124,8 +143,9 @@ def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES)
         more = labels.where("page_id is not null").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.max("blocked").alias("told"))
         marked = seen.join(more, "page_id", "left")
         blocked = F.coalesce(blocked, F.col("told"))
-    shown = templates(seen)
-    named = _meet(marked.withColumn("blocked", blocked), shown, ["host", "segments"])
+    marked = marked.withColumn("blocked", blocked)
+    shown = templates(marked)
+    named = _meet(marked, shown, ["host", "segments"])
     found = cut(judge(named.select("host", "template", "blocked")))
     out = _meet(_meet(seen, shown, ["host", "segments"]), found, ["host", "template"])
     verdict = F.coalesce("ruled", F.when(F.col("rejected"), "block").otherwise("allow"))
