@@ -71,6 +71,15 @@ def test_whole_table(spark):
     assert len(full) <= 1.05 * sum(full) / 2048 + 1
 
 
+def test_carrying_few_bins_loses_nothing(spark):
+    """Two bins of a node hold more than the capacity together, so that few go up and as few sequences result."""
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(r.randrange(150))) for _ in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    counts = [len(held(pack(docs, PATH, capacity=256, carry=carry).collect(), texts, 256)) for carry in (None, 32)]
+    assert abs(counts[0] - counts[1]) <= 1
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     got = sorted(((r.doc_id or 0), r.length) for r in pack(docs, PATH).collect())

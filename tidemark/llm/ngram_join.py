@@ -1,11 +1,11 @@
 """Near duplicates by Jaccard similarity of word n-grams.
 
-Documents with the same set of n-grams form a class of copies, of which one document stands for all.
-Representatives meet in bands of MinHash values.  A bucket of k members is dealt into cells of at most
+Documents with the same set of n-grams form a class of copies, which gets a number and is compared once, whatever
+doc_ids its rows have.  Classes meet in bands of MinHash values.  A bucket of k members is dealt into cells of at most
 2 * BLOCK members, so that no group is ever in one task whole and nothing is capped.  In a cell, MinHash values
 are compared step by step; a pair is dropped once the posterior probability that it reaches the threshold is
 below the tolerance.  A pair that agrees in several bands belongs to the first of them alone.  What remains is
-verified with the exact n-gram sets.  Cells return counts and spanning edges, never all pairs.
+verified with the exact n-gram sets.  Cells pass pairs on as one bit each, and return counts and spanning edges.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded, cut, salt_of
+from .shared import bounded, cut, row_hash, salt_of
 
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values in BANDS bands of ROWS; a pair at 0.8 misses all bands with probability (1 - 0.8^5)^40 < 2e-7.
@@ -84,23 +84,23 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams, (a, b) = Grams(), _permutations()
     for batch in batches:
         keys, sizes, sigs = [], [], []
-        for text in batch.column("text").to_pylist():
-            g = grams(text)
-            keys.append(xxhash.xxh3_128_digest(g.tobytes()))
-            sizes.append(len(g))
-            sigs.append(minhash(g, a, b))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())],
-            names=["doc_id", "copy_key", "size", "sig"],
-        )
+        for i in range(0, len(batch), 500):
+            for text in batch.column("text")[i : i + 500].to_pylist():
+                g = grams(text)
+                keys.append(xxhash.xxh3_128_digest(g.tobytes()))
+                sizes.append(len(g))
+                sigs.append(minhash(g, a, b))
+        made = {"copy_key": pa.array(keys, pa.binary()), "size": pa.array(sizes, pa.int32()), "sig": pa.array(sigs, pa.binary())}
+        rest = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *made.values()], names=[*rest, *made])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams = Grams()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([grams(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc", "grams"]
-        )
+        for i in range(0, len(batch), 500):
+            part = batch.slice(i, 500)
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([grams(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["doc", "grams"])
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -136,12 +136,13 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each cell and member, the later members that may be similar to it."""
+    """For each cell and member with a partner its place among those, and a bit for each of them that comes later and
+    may be similar to it."""
     least = least_matches()
     found: list[tuple] = []
 
     def out():
-        frame = pd.DataFrame(found, columns=["cell", "doc", "partners"])
+        frame = pd.DataFrame(found, columns=["cell", "doc", "place", "partners"])
         found.clear()
         return frame
 
@@ -150,7 +151,8 @@ def _prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         band = int(cell["band"].iloc[0])
         sig = np.frombuffer(b"".join(cell["sig"]), np.uint16).reshape(len(ids), BANDS * ROWS)
         crossed = bool((side != side[0]).any())
-        partners: dict[int, list] = {}
+        partners: dict[int, np.ndarray] = {}
+        paired = np.zeros(len(ids), bool)
         for i in range(len(ids) - 1):
             j = np.arange(i + 1, len(ids))
             ok = (np.minimum(size[i], size[j]) >= THRESHOLD * np.maximum(size[i], size[j])) & (ids[j] != ids[i])
@@ -166,11 +168,13 @@ def _prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 before = (sig[j, : band * ROWS] == sig[i, : band * ROWS]).reshape(len(j), band, ROWS).all(axis=2).any(axis=1)
                 j = j[~before]
             if len(j):
-                partners.setdefault(i, []).extend(ids[j])
-                for x in j:
-                    partners.setdefault(int(x), [])
-        key = int(cell["cell"].iloc[0])
-        found += [(key, ids[i], p) for i, p in partners.items()]
+                partners[i] = j
+                paired[i] = paired[j] = True
+        key, place = int(cell["cell"].iloc[0]), np.cumsum(paired) - 1
+        for i in np.flatnonzero(paired).tolist():
+            bits = np.zeros(paired.sum() if i in partners else 0, bool)
+            bits[place[partners.get(i, [])]] = True
+            found.append((key, ids[i], int(place[i]), np.packbits(bits).tobytes()))
         if len(found) > 5_000:
             yield out()
     if found:
@@ -182,7 +186,6 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     found: list[tuple] = []
     for cell in _cells(batches):
         ids = cell["doc"].tolist()
-        at = {d: k for k, d in enumerate(ids)}
         sets = [np.frombuffer(g, np.uint64) for g in cell["grams"]]
         links, root = [0] * len(ids), list(range(len(ids)))
 
@@ -193,10 +196,10 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return x
 
         for i, partners in enumerate(cell["partners"]):
-            if not len(partners):
+            if not partners:
                 continue
             a = sets[i]
-            js = [at[p] for p in partners]
+            js = np.flatnonzero(np.unpackbits(np.frombuffer(partners, np.uint8))).tolist()
             both = np.concatenate([sets[j] for j in js])
             where = np.minimum(np.searchsorted(a, both), len(a) - 1)
             ends = np.cumsum([0, *(len(sets[j]) for j in js)])
@@ -246,19 +249,25 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id, copy_id, n_copies, n_links.
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id, copy_id, n_copies, n_links, class_key.
 
     copy_id is the least doc_id with the same n-gram set, n_copies how many rows have it, n_links how many other
-    n-gram sets are similar to it, class_id the least doc_id that is connected by links.  Texts that are null or
-    without words are copies of each other and have no links.  A row without doc_id has nulls there.  Repeated
-    rows count as copies.  Other columns are ignored.
+    n-gram sets are similar to it, class_id the least doc_id that is connected by links.  Rows are told apart by what
+    they say: one doc_id with several texts is in several classes, which class_key (a number for each) tells apart
+    even where their least doc_id is the same.  Texts that are null or without words are copies of each other and have
+    no links.  A row without doc_id counts as any other; ids are null where no row of the class has one.  Repeated
+    rows count as copies.  Columns named in carry are passed on; others are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    signed = cut(docs.mapInArrow(_sign, "doc_id long, copy_key binary, size int, sig binary")).withColumn("salt", salt_of("doc_id", SALTS))
-    parts = signed.groupBy("copy_key", "salt").agg(F.min("doc_id").alias("copy_id"), F.max("size").alias("size"), F.count("*").alias("n_copies"), F.min("sig").alias("sig"))
-    classes = cut(parts.groupBy("copy_key").agg(F.min("copy_id").alias("copy_id"), F.max("size").alias("size"), F.sum("n_copies").alias("n_copies"), F.min("sig").alias("sig")))
-    reps = classes.where("size > 0 and copy_id is not null").select(F.col("copy_id").alias("doc"), "size", "sig")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).withColumn("text_key", row_hash("text"))
+    kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    signed = cut(docs.select("doc_id", "text", *carry, "text_key").mapInArrow(_sign, ", ".join(["doc_id long", *kept, "text_key long, copy_key binary, size int, sig binary"])))
+    signed = signed.withColumn("salt", salt_of(F.xxhash64("doc_id", "text_key"), SALTS))
+    one = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key"))  # the row whose text stands for the class
+    parts = signed.groupBy("copy_key", "salt").agg(one.alias("one"), F.max("size").alias("size"), F.count("*").alias("n_copies"), F.min("sig").alias("sig"))
+    classes = parts.groupBy("copy_key").agg(F.min("one").alias("one"), F.max("size").alias("size"), F.sum("n_copies").alias("n_copies"), F.min("sig").alias("sig"))
+    classes = cut(classes.select("*", F.monotonically_increasing_id().alias("doc")))  # numbers hold once they are written
+    reps = classes.where("size > 0").select("doc", "size", "sig")
 
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {2 * ROWS} + 1, {2 * ROWS})))")
     banded = reps.select("doc", F.posexplode(keys).alias("band", "bucket"))
@@ -268,17 +277,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other"))
     cells = dealt.select(cell.alias("cell"), "doc", "band", "side").join(reps, "doc")
-    pruned = cut(cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(_prune, "cell long, doc long, partners array<long>"))
-
-    wanted = cut(pruned.select("doc").distinct())
-    sets = docs.join(F.broadcast(wanted) if bounded(wanted) else wanted, docs["doc_id"] == wanted["doc"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc long, grams binary")
-    checked = cut(pruned.join(sets, "doc").select("cell", "doc", "partners", "grams").repartition("cell").sortWithinPartitions("cell").mapInPandas(_verify, "doc long, links long, root long"))
+    pruned = cut(cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(_prune, "cell long, doc long, place int, partners binary"))
+
+    wanted = cut(pruned.select("doc").distinct().join(classes.select("doc", "one"), "doc").select("doc", F.col("one.doc_id").alias("of"), F.col("one.text_key").alias("key")))
+    met = docs.join(F.broadcast(wanted) if bounded(wanted) else wanted, docs["doc_id"].eqNullSafe(wanted["of"]) & (docs["text_key"] == wanted["key"]))
+    sets = met.select("doc", "text").mapInArrow(_sets, "doc long, grams binary")
+    if signed.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
+        sets = sets.dropDuplicates(["doc"])  # only where rows are repeated
+    met = pruned.join(sets, "doc").select("cell", "doc", "place", "partners", "grams").repartition("cell").sortWithinPartitions("cell", "place")
+    checked = cut(met.select("cell", "doc", "partners", "grams").mapInPandas(_verify, "doc long, links long, root long"))
     links = checked.groupBy("doc").agg(F.sum("links").alias("n_links"))
     roots = components(checked.select(F.col("doc").alias("a"), F.col("root").alias("b")))
 
-    classes = classes.join(links, classes["copy_id"] == links["doc"], "left").join(roots, F.col("copy_id") == F.col("node"), "left")
-    classes = classes.select("copy_key", F.coalesce("root", "copy_id").alias("class_id"), "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = classes.select("copy_key", "doc", F.col("one.doc_id").alias("copy_id"), "n_copies")
+    classes = classes.join(links, "doc", "left").join(roots, F.col("doc") == F.col("node"), "left").withColumn("class_key", F.coalesce("root", "doc")).withColumn("s", salt_of("doc", SALTS))
+    named = classes.groupBy("class_key", "s").agg(F.min("copy_id").alias("class_id")).groupBy("class_key").agg(F.min("class_id").alias("class_id"))
+    dealt = named.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))) if not bounded(named) else F.broadcast(named)
+    classes = classes.join(dealt, ["class_key", "s"] if "s" in dealt.columns else ["class_key"])
+    classes = classes.select("copy_key", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "class_key")
     named = cut(parts.select("copy_key", "salt").join(classes, "copy_key"))
-    out = signed.select("doc_id", "copy_key", "salt").join(named, ["copy_key", "salt"])
-    whole = F.col("doc_id").isNotNull()
-    return out.select("doc_id", *(F.when(whole, F.col(c)).alias(c) for c in ("class_id", "copy_id", "n_copies", "n_links")))
+    out = signed.select("doc_id", *carry, "copy_key", "salt").join(named, ["copy_key", "salt"])
+    return out.select("doc_id", *carry, "class_id", "copy_id", "n_copies", "n_links", "class_key")

@@ -2,9 +2,13 @@
 
 Partitions tokenise and pack their own pieces best-fit, longest first.  Nearly full bins are final.  Underfull
 bins go up a tree as items: at each level the bins of FAN_IN nodes meet in one node and are packed best-fit
-again, until one node is left.  A node sends at most CARRY bins up, the emptiest ones; the others are final as
-they are.  So a node holds what FAN_IN partitions left open, and further up at most FAN_IN * CARRY bins, of two
-numbers each.
+again, until one node is left.
+
+Within a node any two bins hold more than the capacity together, since the item that opened the later one did not
+fit the earlier one.  So a node has one bin at most that is half empty, and bins can only be joined where one of the
+two is: at most FAN_IN joins in a node, whatever the input.  A node sends up its CARRY emptiest bins, many more than
+all nodes above it can join, so that memory is bounded and no join is lost for want of a bin with room; carry=None
+sends all, for the tightest fit among them too.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +34,9 @@ CAPACITY = 2048
 SLACK = 8
 FAN_IN, CARRY = 16, 4096
 #: Encoded units that a worker keeps.
-CACHE_UNITS = 400_000
-#: Texts tokenised at a time, by characters.
-CHUNK = 5_000_000
+CACHE_UNITS = 150_000
+#: Texts tokenised at a time, by bytes.
+CHUNK = 1_000_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -109,10 +114,11 @@ def word_tokens(path: str) -> WordTokens:
     return _LOADED[path]
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about CHUNK bytes, whole texts only."""
     start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        total += n
         if total > CHUNK:
             yield start, i + 1
             start, total = i + 1, 0
@@ -157,32 +163,37 @@ def pack_partition(path: str, capacity: int = CAPACITY) -> Callable:
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
         nulls: list[np.ndarray] = []
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            texts, ids = batch.column("text"), batch.column("doc_id")
             for i, j in chunks(texts):
-                rows: list[tuple] = []
-                for doc, data in zip(ids[i:j].to_pylist(), tokens(texts[i:j])):
+                size, crcs = [], []
+                for data in tokens(texts[i:j].to_pylist()):
                     data += b"\0\0\0\0"
-                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at : at + 4 * capacity]
-                        rows.append((doc or 0, piece, at // 4, len(part) // 4, zlib.crc32(part), doc is None))
-                done = np.array(rows, np.int64)
-                for k in range(5):
-                    cols[k].append(done[:, k].copy())
-                nulls.append(done[:, 5] == 1)
+                    size.append(len(data) // 4)
+                    crcs += [zlib.crc32(data[at : at + 4 * capacity]) for at in range(0, len(data), 4 * capacity)]
+                size = np.array(size, np.int64)
+                n = -(-size // capacity)  # pieces of each document
+                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                cols[0].append(np.repeat(ids[i:j].fill_null(0).to_numpy(), n))
+                cols[1].append(piece.astype(np.int32))
+                cols[2].append(piece * capacity)
+                cols[3].append(np.minimum(np.repeat(size, n) - piece * capacity, capacity).astype(np.int32))
+                cols[4].append(np.array(crcs, np.uint32))
+                nulls.append(np.repeat(ids[i:j].is_null().to_numpy(zero_copy_only=False), n))
         if not nulls:
             return
-        doc, piece, start, length, crc = (np.concatenate(c) for c in cols)
+        doc, piece, start, length, crc = (np.concatenate(cols.pop(0)) for _ in range(5))
         where, offset, held = best_fit(length, capacity)
         base = TaskContext.get().partitionId() << 36
-        out = [pa.array(doc, mask=np.concatenate(nulls)), pa.array(piece.astype(np.int32)), *map(pa.array, (start, length, crc, where + base, offset, held[where]))]
-        whole = pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "held"])
-        for i in range(0, len(whole), 50_000):
-            yield whole.slice(i, 50_000)
+        nulls = np.concatenate(nulls)
+        for i in range(0, len(doc), 50_000):
+            s = slice(i, i + 50_000)
+            numbers = (x.astype(np.int64) for x in (start[s], length[s], crc[s], where[s] + base, offset[s], held[where[s]]))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s], mask=nulls[s]), pa.array(piece[s]), *map(pa.array, numbers)], names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "held"])
 
     return run
 
 
-def merge_node(capacity: int, slack: int, carry: int, last: bool) -> Callable:
+def merge_node(capacity: int, slack: int, carry: int | None, last: bool) -> Callable:
     """Pack the bins of a node best-fit: each one's new bin and place there, and whether that bin goes up."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,7 +208,7 @@ def merge_node(capacity: int, slack: int, carry: int, last: bool) -> Callable:
             up = held < capacity - slack
             if last:
                 up[:] = False
-            elif up.sum() > carry:
+            elif carry is not None and up.sum() > carry:
                 up &= held <= np.sort(held[up])[carry - 1]
             first = np.full(len(held), np.iinfo(np.int64).max)
             np.minimum.at(first, where, bins)
@@ -206,13 +217,13 @@ def merge_node(capacity: int, slack: int, carry: int, last: bool) -> Callable:
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, slack: int = SLACK, carry: int | None = CARRY) -> DataFrame:
     """One row for each piece of each row of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and the id 0; only a longer one than capacity is cut.  A null or empty text is the
     id 0 alone.  Rows with the same doc_id, or none, are documents of their own.  Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = cut(docs.mapInArrow(pack_partition(path, capacity), PIECE + ", bin long, offset long, held long"))
     moved = None
     open_bins = cut(pieces.where(F.col("held") < capacity - slack).groupBy(F.col("bin").alias("bin")).agg(F.first("held").alias("held")).withColumn("node", F.shiftright("bin", 36)))
@@ -221,7 +232,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, slack: int = SLAC
         nodes = -(-nodes // FAN_IN)
         up = open_bins.withColumn("node", F.expr(f"node div {FAN_IN}"))
         level = cut(
-            up.repartition("node").mapInPandas(merge_node(capacity, slack, CARRY, nodes == 1), "bin long, into long, shift long, node long, sum long, up boolean")
+            up.repartition("node").mapInPandas(merge_node(capacity, slack, carry, nodes == 1), "bin long, into long, shift long, node long, sum long, up boolean")
         )
         step = level.select("bin", "into", "shift")
         if moved is None:

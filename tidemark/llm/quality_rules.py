@@ -1,14 +1,17 @@
 """Quality rules: fixed limits, then robust multivariate outliers for each language and source.
 
 Statistics of every whole text are transformed to a vector.  For each language and source a minimum covariance
-determinant estimate is found by concentration steps: from medians and deviations, the location and scatter of the
-closest share of rows are taken again and again.  A row goes when its Mahalanobis distance is too large.  Groups of
-too few rows take the estimate of their language, or that of all rows.
+determinant estimate is sought from several starts by concentration steps, each of which takes the location and
+scatter of the closest share of rows; the start of least determinant goes on to its minimum.  The estimate of a group
+leans on that of its language, which leans on that of all rows, the less so the more rows it has.  A row goes when
+its Mahalanobis distance is too large.
 Only DataFrame expressions: text is read once, the steps run on a table of a few numbers for each document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +19,14 @@ from .shared import bounded, cut, let, salt_of
 
 #: Limits of the base rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-#: Share of a group's rows that an estimate rests on, and how often it is concentrated.
-SHARE, STEPS = 0.6, 3
-#: Rows that an estimate of a group's own needs.
-LEAST_ROWS = 60
+#: Share of a group's rows that an estimate rests on.
+SHARE = 0.6
+#: Starts from single rows, and how often all starts are concentrated before one is chosen.
+DRAWN, FIRST = 2, 2
+#: The chosen one is concentrated until the log of no determinant falls by more than this; never more often than so.
+TOLERANCE, MOST_STEPS = 1e-3, 30
+#: Rows that the estimate of a language counts as beside those of a group, and that of all rows beside a language's.
+LEAN = 60.0
 #: The vector, and for each part a standard deviation that always counts as ordinary.
 VECTOR = {"word_length": 0.05, "symbols": 0.15, "dup_lines": 0.15, "repeats": 0.15, "capitals": 0.10, "marks": 0.15}
 #: Squared distance beyond which a row goes: six dimensions pass it by chance once in 2e10 rows.
@@ -31,6 +38,7 @@ BROADCAST_GROUPS, SALTS = 50_000, 32
 
 BLANKS = r"\x20\x09-\x0D"
 _D = len(VECTOR)
+_PAIRS = [(i, k) for i in range(_D) for k in range(i + 1)]
 
 
 def _count(text: Column, others: str) -> Column:
@@ -74,16 +82,17 @@ def repeated_words(words: Column) -> Column:
     return let(words, count)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
+def statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang, source and the statistics of each text; a null text has no words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"), *carry)
     words = F.filter(F.split("text", f"[{BLANKS}]+"), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))
     return base.select(
         "doc_id",
         "lang",
         "source",
+        *carry,
         let(words, lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).alias("n_repeat_words"))).alias("w"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
         _count(F.col("text"), BLANKS).alias("word_chars"),
@@ -91,7 +100,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         _count(F.col("text"), "^A-Z").alias("n_capitals"),
         _count(F.col("text"), "^!?.,;:").alias("n_marks"),
     ).select(
-        "doc_id", "lang", "source", F.col("w.n_words").alias("n_words"), "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("w.n_repeat_words").alias("n_repeat_words"), "n_capitals", "n_marks", F.col("l.n").alias("n_lines")
+        "doc_id", "lang", "source", *carry, F.col("w.n_words").alias("n_words"), "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("w.n_repeat_words").alias("n_repeat_words"), "n_capitals", "n_marks", F.col("l.n").alias("n_lines")
     )
 
 
@@ -109,7 +118,9 @@ def vector() -> list[Column]:
 
 
 def _inverse_factor(est: DataFrame) -> DataFrame:
-    """Adds u{i}_{k}, the inverse of the Cholesky factor of the scatter c{i}_{k}."""
+    """Adds u{i}_{k}, the inverse of the Cholesky factor of the scatter c{i}_{k}, and logdet, the log of its
+    determinant."""
+    columns = est.columns
     for j in range(_D):
         pivot = F.col(f"c{j}_{j}") - sum((F.col(f"l{j}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
         est = est.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(pivot, F.lit(1e-12))))
@@ -117,7 +128,8 @@ def _inverse_factor(est: DataFrame) -> DataFrame:
     for i in range(_D):
         below = {f"u{i}_{k}": -sum((F.col(f"l{i}_{m}") * F.col(f"u{m}_{k}") for m in range(k, i)), F.lit(0.0)) / F.col(f"l{i}_{i}") for k in range(i)}
         est = est.withColumns({**below, f"u{i}_{i}": 1 / F.col(f"l{i}_{i}")})
-    return est.select("level", "key", "n", *(f"m{i}" for i in range(_D)), *(f"u{i}_{k}" for i in range(_D) for k in range(i + 1)))
+    logdet = sum((F.log(f"l{i}_{i}") for i in range(_D)), F.lit(0.0)) * 2
+    return est.select(*columns, *(f"u{i}_{k}" for i, k in _PAIRS), logdet.alias("logdet"))
 
 
 def _distance() -> Column:
@@ -125,64 +137,122 @@ def _distance() -> Column:
     return sum((z * z for z in whitened), F.lit(0.0))
 
 
-def _meet(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """rows with the columns of their estimate, by level and key."""
-    if bounded(estimates, BROADCAST_GROUPS):
+def _meet(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
+    """rows with the columns of their estimates, by level and key; few: there are few of these, to be broadcast."""
+    if few:
         return rows.join(F.broadcast(estimates), ["level", "key"])
     dealt = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", salt_of("doc_id", SALTS)).join(dealt, ["level", "key", "salt"]).drop("salt")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Location, inverse factor and scale of the minimum covariance determinant estimate of each level and key."""
-    floors = list(VECTOR.values())
-    by = rows.groupBy("level", "key")
-    medians = cut(by.agg(F.count("*").alias("n"), *(F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(_D))))
-    spread = _meet(rows, medians).groupBy("level", "key").agg(
-        F.first("n").alias("n"),
-        *(F.first(f"m{i}").alias(f"m{i}") for i in range(_D)),
-        *((F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000) * 1.4826).alias(f"s{i}") for i in range(_D)),
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
+    """Estimates to begin with, for each level, key and start: medians with deviations; with the correlation of
+    directions from there; with that of values bent towards the middle; and single rows, drawn by hashes."""
+    medians = cut(rows.groupBy("level", "key").agg(F.count("*").alias("n"), *(F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(_D))))
+    deviations = [F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000) * 1.4826 for i in range(_D)]
+    spread = _meet(rows, medians, few).groupBy("level", "key").agg(*(F.greatest(d, F.lit(floor)).alias(f"s{i}") for (i, d), floor in zip(enumerate(deviations), VECTOR.values())))
+    middle = cut(medians.join(spread, ["level", "key"]))
+    z = [((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}")) for i in range(_D)]
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(_D)), F.lit(1e-9)))
+    scaled = _meet(rows, middle, few).withColumns({f"z{i}": x for i, x in enumerate(z)}).withColumn("length", length)
+    turn = {i: F.col(f"z{i}") / F.col("length") for i in range(_D)}
+    bent = {i: F.tanh(f"z{i}") for i in range(_D)}
+    drawn = F.struct(*(f"x{i}" for i in range(_D)))
+    told = scaled.groupBy("level", "key").agg(
+        *(F.avg(turn[i] * turn[k]).alias(f"a{i}_{k}") for i, k in _PAIRS),
+        *(F.avg(bent[i] * bent[k]).alias(f"b{i}_{k}") for i, k in _PAIRS),
+        *(F.min_by(drawn, F.xxhash64(F.lit(d), *(f"x{i}" for i in range(_D)))).alias(f"d{d}") for d in range(DRAWN)),
     )
-    start = {f"c{i}_{k}": F.pow(F.greatest(f"s{i}", F.lit(floors[i])), 2) if i == k else F.lit(0.0) for i in range(_D) for k in range(i + 1)}
-    now = cut(_inverse_factor(spread.withColumns(start)))
-    for _ in range(STEPS):
-        far = _meet(rows, now).groupBy("level", "key").agg(F.percentile_approx(_distance(), SHARE, 10_000).alias("far"))
-        near = _meet(rows, cut(now.join(far, ["level", "key"]))).where(_distance() <= F.col("far"))
-        sums = near.groupBy("level", "key").agg(
-            F.first("n").alias("n"),
-            *(F.avg(f"x{i}").alias(f"m{i}") for i in range(_D)),
-            *(F.avg(F.col(f"x{i}") * F.col(f"x{k}")).alias(f"q{i}_{k}") for i in range(_D) for k in range(i + 1)),
-        )
-        scatter = {f"c{i}_{k}": F.col(f"q{i}_{k}") - F.col(f"m{i}") * F.col(f"m{k}") + (floors[i] ** 2 if i == k else 0.0) for i in range(_D) for k in range(i + 1)}
-        now = cut(_inverse_factor(sums.withColumns(scatter)))
-    scale = _meet(rows, now).groupBy("level", "key").agg(F.greatest(F.percentile_approx(_distance(), 0.5, 10_000) / CHI_MEDIAN, F.lit(1.0)).alias("scale"))
-    return now.join(scale, ["level", "key"])
-
-
-def apply_rules(docs: DataFrame) -> DataFrame:
+    told = cut(middle.join(told, ["level", "key"]))
+
+    def start(number: int, location: list[Column], correlation: str | None) -> DataFrame:
+        def part(i: int, k: int) -> Column:
+            own = F.col(f"s{i}") * F.col(f"s{k}")
+            if i == k:
+                return own
+            if correlation is None:
+                return F.lit(0.0)
+            c = F.col(f"{correlation}{i}_{k}") / F.sqrt(F.greatest(F.col(f"{correlation}{i}_{i}") * F.col(f"{correlation}{k}_{k}"), F.lit(1e-12)))
+            return own * c * 0.95
+
+        return told.select("level", "key", F.lit(number).alias("start"), "n", *(m.alias(f"m{i}") for i, m in enumerate(location)), *(part(i, k).alias(f"c{i}_{k}") for i, k in _PAIRS))
+
+    medians = [F.col(f"m{i}") for i in range(_D)]
+    out = start(0, medians, None).union(start(1, medians, "a")).union(start(2, medians, "b"))
+    for d in range(DRAWN):
+        out = out.union(start(3 + d, [F.col(f"d{d}.x{i}") for i in range(_D)], None))
+    return out
+
+
+def _concentrate(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
+    """The estimates from the closest share of rows of each estimate of now."""
+    floors = list(VECTOR.values())
+    by = ["level", "key", "start"]
+    far = _meet(rows, now, few).groupBy(*by).agg(F.percentile_approx(_distance(), SHARE, 10_000).alias("far"))
+    near = _meet(rows, now.join(far, by), few).where(_distance() <= F.col("far"))
+    sums = near.groupBy(*by).agg(F.first("n").alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(_D)), *(F.avg(F.col(f"x{i}") * F.col(f"x{k}")).alias(f"q{i}_{k}") for i, k in _PAIRS))
+    scatter = [(F.col(f"q{i}_{k}") - F.col(f"m{i}") * F.col(f"m{k}") + (floors[i] ** 2 if i == k else 0.0)).alias(f"c{i}_{k}") for i, k in _PAIRS]
+    return cut(_inverse_factor(sums.select(*by, "n", *(f"m{i}" for i in range(_D)), *scatter)))
+
+
+def estimates(rows: DataFrame, few: bool = True) -> DataFrame:
+    """Location m, scatter c, inverse factor u, logdet and scale of the minimum covariance determinant estimate of each
+    level and key of rows(doc_id, level, key, x0, ...).
+
+    All starts are concentrated FIRST times; the one of least determinant goes on until no group's determinant falls
+    any more.  few: there are few groups.
+    """
+    by = ["level", "key"]
+    now = cut(_inverse_factor(_starts(rows, few)))
+    for _ in range(FIRST):
+        now = _concentrate(rows, now, few)
+    best = cut(now.groupBy(*by).agg(F.min_by(F.struct(*(c for c in now.columns if c not in by)), F.struct("logdet", "start")).alias("e")).select(*by, "e.*"))
+    for _ in range(MOST_STEPS):
+        then = _concentrate(rows, best, few)
+        before = best.select(*by, F.col("logdet").alias("before"))
+        fell = then.join(before, by).agg(F.max(F.col("before") - F.col("logdet")).alias("d")).first()["d"]
+        best = then
+        if fell is None or fell < TOLERANCE:
+            break
+    scale = _meet(rows, best, few).groupBy(*by).agg(F.greatest(F.percentile_approx(_distance(), 0.5, 10_000) / CHI_MEDIAN, F.lit(1.0)).alias("scale"))
+    return best.join(scale, by).drop("start")
+
+
+def _lean(est: DataFrame, parent: Callable[[str], Column]) -> DataFrame:
+    """est drawn towards the parent's estimates as if those were LEAN rows more: the mixture's location and scatter."""
+    w = F.col("n") / (F.col("n") + LEAN)
+    apart = [F.col(f"m{i}") - parent(f"m{i}") for i in range(_D)]
+    location = {f"m{i}": w * F.col(f"m{i}") + (1 - w) * parent(f"m{i}") for i in range(_D)}
+    scatter = {f"c{i}_{k}": w * F.col(f"c{i}_{k}") + (1 - w) * parent(f"c{i}_{k}") + w * (1 - w) * apart[i] * apart[k] for i, k in _PAIRS}
+    return est.withColumns({**location, **scatter, "scale": w * F.col("scale") + (1 - w) * parent("scale")})
+
+
+def apply_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, distance.
 
     Null or empty texts have no words and fail the base rules.  A null language or source is a group of its own.
-    distance is null where the base rules decide.  Other columns are ignored; repeated rows are judged alike.
+    distance is null where the base rules decide.  Repeated rows are judged alike.  Columns named in carry are passed
+    on, others ignored.
     """
-    stats = cut(statistics(docs))
+    stats = cut(statistics(docs, carry))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
     keys = [F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang")), F.lit("{}")]
     good = cut(stats.where("not base_failed").select("doc_id", "lang", "source", *vector()))
     rows = good.select("doc_id", *(f"x{i}" for i in range(_D)), F.posexplode(F.array(*keys)).alias("level", "key"))
-    found = cut(estimates(rows))
-    own = good.groupBy("lang", "source").agg(F.count("*").alias("rows")).select(keys[0].alias("group"), keys[1].alias("lang_key"))
-    fit = found.where((F.col("n") >= LEAST_ROWS) | (F.col("level") == 2))
-    values = [c for c in found.columns if c not in ("level", "key", "n")]
-    first = fit.where("level = 0").select(F.col("key").alias("k0"), F.struct(*values).alias("v0"))
-    second = fit.where("level = 1").select(F.col("key").alias("k1"), F.struct(*values).alias("v1"))
-    whole = fit.where("level = 2").select(F.col("key").alias("k2"), F.struct(*values).alias("v2"))
-    choice = own.join(first, F.col("group") == F.col("k0"), "left").join(second, F.col("lang_key") == F.col("k1"), "left").withColumn("k2", F.lit("{}")).join(F.broadcast(whole), "k2")
-    choice = cut(choice.select(F.lit(0).alias("level"), F.col("group").alias("key"), F.coalesce("v0", "v1", "v2").alias("v")).select("level", "key", "v.*"))
+    own = cut(good.select(keys[0].alias("key"), keys[1].alias("lang_key")).distinct())
+    few = bounded(own, BROADCAST_GROUPS)
+    columns = ["n", "scale", *(f"m{i}" for i in range(_D)), *(f"c{i}_{k}" for i, k in _PAIRS)]
+    found = cut(estimates(rows, few))
+    whole = found.where("level = 2").select(*columns).first()  # one row; none where nothing passes
+    langs = found.where("level = 1").select("key", *columns)
+    langs = cut(_lean(langs, lambda c: F.lit(whole[c] if whole else 0.0)).select(F.col("key").alias("lang_key"), *(F.col(c).alias(f"p_{c}") for c in columns)))
+    groups = found.where("level = 0").select("key", *columns).join(own, "key").join(langs, "lang_key")
+    groups = cut(_lean(groups, lambda c: F.col(f"p_{c}")).select(F.lit(0).alias("level"), "key", *columns))
+    choice = cut(_inverse_factor(groups).drop("n", "logdet", *(f"c{i}_{k}" for i, k in _PAIRS)))
     every = stats.select("*", F.lit(0).alias("level"), keys[0].alias("key")).withColumns({f"x{i}": c for i, c in enumerate(vector())})
-    passed = _meet(every.where("not base_failed"), choice).withColumn("distance", _distance() / F.col("scale"))
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    passed = _meet(every.where("not base_failed"), choice, few).withColumn("distance", _distance() / F.col("scale"))
+    columns = ["doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     rest = stats.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return passed.select(*columns, (F.col("distance") <= LIMIT).alias("kept"), "distance").unionByName(rest)

@@ -56,8 +56,9 @@ def place(rows: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, size: int
     """One row for each row of rows: its key, slot and shard.
 
     A null key has neither.  Equal keys, repeated rows too, share a shard; a key that many rows have is one key, and
-    what is to be spread must have keys of its own.  Other columns are ignored.
+    what is to be spread must have keys of its own.  Other columns are ignored; a key column may have any name, slot
+    or shard too, whose column then comes first of two by that name.
     """
-    keyed = rows.select(F.col(key), slot_of(F.col(key), size).alias("slot"))
+    keyed = rows.select(F.col(key).alias("_key"), slot_of(F.col(key), size).alias("_slot"))
     table = lookup(rows.sparkSession, shards, size).withColumnRenamed("slot", "_at")
-    return keyed.join(F.broadcast(table), F.col("slot") == F.col("_at"), "left").select(key, "slot", "shard")
+    return keyed.join(F.broadcast(table), F.col("_slot") == F.col("_at"), "left").select(F.col("_key").alias(key), F.col("_slot").alias("slot"), "shard")
