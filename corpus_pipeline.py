@@ -1,55 +1,70 @@
 """The corpus pipeline: documents judged, deduplicated, freed of personal data and packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next one's docs.  All but the last return the columns of documents.  Rows without doc_id cannot be named by the
-stages that remove rows; they stay.
+next one's docs.  All but the last return the columns of documents.  Stages decide about rows, not ids: of rows that
+share a doc_id, or have none, each is judged by what it says.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import kneser_ney, ngram_join, packing, pii, quality_rules
-from tidemark.llm.shared import bounded, cut, remove, scope, shared_dir, table
+from tidemark.llm.shared import bounded, cut, remove, row_hash, salt_of, scope, table, written
 
 #: SQL cannot express the stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
-def _ids(rows: DataFrame) -> DataFrame:
-    """The different doc_ids of rows, marked for broadcast if they are few."""
-    ids = cut(rows.select("doc_id").where("doc_id is not null").distinct())
-    return F.broadcast(ids) if bounded(ids) else ids
+def _told_apart(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a hash of all their columns, maps aside: with doc_id it tells rows apart, and equal rows are one."""
+    return docs.withColumn(key, row_hash(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString())))
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the doc_ids of gone; where those are few, texts aren't shuffled."""
-    return docs.join(_ids(gone), "doc_id", "left_anti").select(docs.columns)
+def _only(docs: DataFrame, rows: DataFrame, key: str, how: str) -> DataFrame:
+    """docs joined (left_semi or left_anti) with rows(doc_id, key); where those are few, texts aren't shuffled."""
+    rows = cut(rows.select(F.col("doc_id").alias("of"), F.col(key).alias("found")).distinct())
+    return docs.join(F.broadcast(rows) if bounded(rows) else rows, docs["doc_id"].cast("long").eqNullSafe(rows["of"]) & (docs[key] == rows["found"]), how)
+
+
+def _kept(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """docs without the rows that judge(docs, key) rejects."""
+    key = f"key_{uuid.uuid4().hex}"
+    rows = _told_apart(docs, key)
+    return _only(rows, judge(rows, key).where("not kept"), key, "left_anti").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _without(docs, quality_rules.apply_rules(docs).where("not kept"))
+    return _kept(docs, lambda rows, key: quality_rules.apply_rules(rows, (key,)))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within the limit of their language."""
-    return _without(docs, kneser_ney.classify(docs, table(spark, sf_dir, "labels")).where("not kept"))
+    return _kept(docs, lambda rows, key: kneser_ney.classify(rows, table(spark, sf_dir, "labels"), (key,)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of least doc_id; of repeated rows one."""
-    found = cut(ngram_join.near_duplicates(docs).select("doc_id", "class_id"))
-    kept = _without(docs, found.where("doc_id <> class_id"))
-    twice = _ids(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"))
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").union(again).select(docs.columns)
+    """One document of each group of near duplicates, the one of least doc_id, of those the one of least hash; rows
+    without doc_id stay only where no row of the group has one.  Of rows that are equal in all columns one stays."""
+    key = f"key_{uuid.uuid4().hex}"
+    rows = _told_apart(docs, key)
+    found = cut(ngram_join.near_duplicates(rows, (key,)).select("doc_id", key, "class_key"))
+    one = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", key)).alias("one")
+    salted = found.withColumn("salt", salt_of(key, 64)).groupBy("class_key", "salt").agg(one, F.count("*").alias("n"))
+    first = cut(salted.groupBy("class_key").agg(F.min("one").alias("one"), F.sum("n").alias("n")).select("one.*", "n"))
+    gone = found.groupBy("doc_id", key).agg(F.count("*").alias("n")).join(first.drop("n").withColumnsRenamed({"doc_id": "of", key: "least"}), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col(key) == F.col("least")), "left")
+    gone = cut(gone.select("doc_id", key, "n", F.col("least").isNotNull().alias("first")))
+    kept = _only(rows, gone.where("not first"), key, "left_anti")
+    twice = gone.where("first and n > 1")
+    if not twice.isEmpty():  # equal rows, of which it doesn't matter which stays
+        kept = _only(kept, twice, key, "left_anti").union(_only(kept, twice, key, "left_semi").dropDuplicates(["doc_id", key]))
+    return kept.select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,12 +82,10 @@ STAGES = [("quality_rules", quality), ("quality_classifier", classifier), ("near
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    for _, stage in STAGES:
         with scope(spark):
-            out = stage(spark, docs, sf_dir)
-            out.write.parquet(path)
+            docs, path = written(stage(spark, docs, sf_dir))
         if last:
             remove(spark, last)
-        docs, last = spark.read.schema(out.schema).parquet(path), path
+        last = path
     return docs
