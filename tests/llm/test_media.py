@@ -26,6 +26,15 @@ def test_copies_and_edits_are_found(spark):
     assert find_copies(images.limit(0), F.col("image_id") == 0).collect() == []
 
 
+def test_one_id_with_several_images(spark):
+    """No image is lost, and each has its own matches."""
+    a, b = picture(1), picture(2)
+    rows = [(0, a), (7, b), (7, a[10:, 8:]), (8, b), (0, picture(3))]
+    images = spark.createDataFrame([(i, bytearray(write_image(p))) for i, p in rows], "image_id long, image binary")
+    got = sorted((r.image_id, r.copy_id, r.n_copies, [m.copy_id for m in r.matches]) for r in find_copies(images, F.col("image_id") == 0).collect())
+    assert got == [(0, 0, 1, []), (0, 0, 1, []), (7, 7, 1, [0]), (7, 7, 2, []), (8, 7, 2, [])]
+
+
 def test_images_round_trip():
     p = np.rint(picture(2))
     assert (read_image(write_image(p)) == p).all()

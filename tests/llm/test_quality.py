@@ -53,7 +53,7 @@ def test_estimates_are_robust(spark):
     rows = [(i, 0, "g", *map(float, x)) for i, x in enumerate(np.concatenate([good, bad]))]
     frame = spark.createDataFrame(rows, "doc_id long, level int, key string, " + ", ".join(f"x{i} double" for i in range(6)))
     est = quality_rules.estimates(frame)
-    assert np.abs(np.array([est.first()[f"m{i}"] for i in range(6)]) - 5).max() < 0.4
+    assert np.abs(np.array(est.first()["m"]) - 5).max() < 0.4
     far = quality_rules._meet(frame, est, True).select("doc_id", (quality_rules._distance() / est.first()["scale"]).alias("d")).collect()
     assert all((x.d > quality_rules.LIMIT) == (x.doc_id >= 400) for x in far)
 
@@ -147,7 +147,7 @@ def test_determinant_is_the_least(spark):
     frame = spark.createDataFrame([(i, 0, "g", *map(float, v)) for i, v in enumerate(x)], "doc_id long, level int, key string, " + ", ".join(f"x{i} double" for i in range(6)))
     got = quality_rules.estimates(frame).first()
     logdet, m = brute_mcd(x, quality_rules.SHARE)
-    assert got["logdet"] <= logdet + 0.1 and np.abs(np.array([got[f"m{i}"] for i in range(6)]) - m).max() < 0.15
+    assert got["logdet"] <= logdet + 0.1 and np.abs(np.array(got["m"]) - m).max() < 0.15
 
 
 def test_small_groups_lean_on_larger_ones(spark):

@@ -39,3 +39,15 @@ def test_place(spark):
     want = [(k, slot(k), SHARDS[table[slot(k)]]) for k in (1, 1, 2**40)] + [(None, None, None)]
     assert got == sorted(want, key=str)
     assert place(rows.limit(0), "doc_id").collect() == []
+
+
+def test_key_columns_of_any_name(spark):
+    for name in ("slot", "shard", "_at"):
+        got = place(spark.createDataFrame([(5, "x")], f"{name} long, other string"), name).collect()
+        assert len(got) == 1 and got[0][0] == 5 and got[0][2] == SHARDS[fill()[got[0][1]]]
+
+
+def test_very_long_keys(spark):
+    key = "k" * 500_000
+    got = place(spark.createDataFrame([(key,)], "name string"), "name").collect()[0]
+    assert got.slot == int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % SIZE

@@ -1,7 +1,9 @@
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from tidemark.llm import url_filters
 from tidemark.llm.url_filters import RULES, filter_urls
 
 URLS = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.COM/en/x", "https://www.example.com/en/1?x#y", "a://b.net/es/", "a://net/fr/z", "a://xnet/es/", "a://com", "a://x.com?q=/en/", "a://É.COM/a", "x\ny://h.org/p\nq", "a://b.c/d://e.com/f", "a://m.example.com/en/q#/z", "://net/es/"]
@@ -53,3 +55,54 @@ def test_unlabelled_leaves_under_a_blocked_branch(spark):
         got = {r.page_id: r.verdict for r in filter_urls(pages, labels).collect()}
         assert [got[10_000 + i] for i in range(4)] == ["block", "allow", "block", "allow"]
         assert all(got[i] == ("block" if i % 2 else "allow") for i in range(n))
+
+
+def test_depth_is_not_bounded(spark):
+    """What differs twelve segments down is told apart there; a path that stands alone stays as it is."""
+    deep = "/".join("abcdefghijkl")
+    rows = [(i, f"https://h.org/{deep}/{'buy' if i % 2 else 'read'}/{i}") for i in range(100)] + [(200, "https://h.org/" + "/".join("qrstuvwxyz" * 30)), (201, f"https://h.org/{deep}/buy/7")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in filter_urls(pages, pages.where("page_id < 100").select("page_id", (F.col("page_id") % 2 == 1).alias("blocked"))).collect()}
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(100))
+    assert got[201].verdict == "block" and got[201].template == f"/{deep}/buy/{{number}}" and got[200].template == "/" + "/".join("qrstuvwxyz" * 30)
+
+
+def test_similar_siblings_pool_their_labels(spark):
+    """Twelve branches of three labels each have too few to tell by themselves; together they are rejected, and those
+    that are allowed beside them stay."""
+    rows = [(100 * b + i, f"https://h.org/{'bad' if b < 12 else 'good'}{chr(97 + b)}{chr(97 + b)}/{chr(97 + i)}x.html") for b in range(24) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.where("page_id % 100 < 3").select("page_id", (F.col("page_id") < 1200).alias("blocked"))
+    got = {r.page_id: r.verdict for r in filter_urls(pages, labels).collect()}
+    assert got == {i: "block" if i < 1200 else "allow" for i, _ in rows}
+
+
+def brute_siblings(nodes, same):
+    """Pooled n and k of each branch, by walking the branches of a parent in order of their shares."""
+    out, by = {}, {}
+    for name, n, k in nodes:
+        by.setdefault(n > 0, []).append((k / n if n else 0, name, n, k))
+    for told, rows in by.items():
+        groups = []
+        for row in sorted(rows):
+            if groups and told:
+                _, _, n0, k0 = groups[-1][-1]
+                p = (k0 + row[3]) / (n0 + row[2])
+                if abs(row[0] - k0 / n0) > same * (p * (1 - p) * (1 / n0 + 1 / row[2])) ** 0.5:
+                    groups.append([])
+            elif not groups:
+                groups.append([])
+            groups[-1].append(row)
+        for g in groups:
+            out.update({row[1]: (sum(r[2] for r in g), sum(r[3] for r in g)) for row in g})
+    return out
+
+
+def test_siblings_against_brute_force(spark):
+    r = random.Random(4)
+    nodes = []
+    for i in range(60):
+        n = r.choice([0, 1, 3, 10, 50])
+        nodes.append((f"/{i:02d}", n, r.choice([0, n, n // 2, r.randrange(n + 1)])))
+    frame = spark.createDataFrame([("h", "", *x) for x in nodes], "host string, parent string, node string, n long, k long")
+    assert {x.node: (x.n, x.k) for x in url_filters._with_siblings(frame).collect()} == brute_siblings(nodes, url_filters.SAME)

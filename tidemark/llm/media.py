@@ -10,16 +10,17 @@ queries are searched against all images.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded, cut, salt_of
+from .shared import bounded, cut
 
 #: Scales of the image; at each, every corner above this response is kept.
 SCALES, RESPONSE = (1.0, 0.7, 0.5), 1e-3
@@ -137,17 +138,25 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each image its corners as 4 floats, and their tests as 4 words of 64 bits."""
-    for batch in (b.slice(i, 250) for b in batches for i in range(0, len(b), 250)):
-        reps, places, words = [], [], []
-        for rep, data in zip(batch.column("rep").to_pylist(), batch.column("image").to_pylist()):
-            image = read_image(data)
-            p, t = describe(image) if image is not None else ((), ())
-            if len(p):
-                reps.append(rep)
-                places.append(p.astype(np.float32).tobytes())
-                words.append(np.packbits(t, axis=1).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(places, pa.binary()), pa.array(words, pa.binary())], names=["rep", "places", "words"])
+    """For each row its number, a digest of the image, the corners as 4 floats each, and their tests as 4 words of 64
+    bits.  Of rows with the same bytes the first of a batch is described."""
+    first = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        seen: set[bytes] = set()
+        for i in range(0, len(batch), 250):
+            part = batch.slice(i, 250)
+            keys, places, words = [], [], []
+            for data in part.column("image").to_pylist():
+                key = None if data is None else hashlib.sha256(data).digest()
+                image = read_image(data) if key not in seen else None
+                p, t = describe(image) if image is not None else ((), ())
+                seen.add(key)
+                keys.append(key)
+                places.append(p.astype(np.float32).tobytes() if len(p) else None)
+                words.append(np.packbits(t, axis=1).tobytes() if len(p) else None)
+            made = [pa.array(np.arange(first, first + len(part))), *(pa.array(x, pa.binary()) for x in (keys, places, words))]
+            first += len(part)
+            yield pa.RecordBatch.from_arrays([part.column("image_id"), part.column("asked"), *made], names=["image_id", "asked", "row", "image_key", "places", "words"])
 
 
 def _keys(words: np.ndarray) -> list[np.ndarray]:
@@ -249,7 +258,7 @@ def _search(block: Broadcast, name: str) -> Callable:
     """Pairs of a query of the block and an image, with the corners that agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reps, sizes, places, words = block.value
+        reps, named, sizes, places, words = block.value
         if name not in _HELD:  # a worker's tasks share the tables
             _HELD.clear()
             _HELD[name] = _tables(words)
@@ -264,71 +273,68 @@ def _search(block: Broadcast, name: str) -> Callable:
             order = np.argsort(pair, kind="stable")
             q, r, pair = q[order], r[order], pair[order]
             starts = np.flatnonzero(np.diff(pair, prepend=-1))
-            ids, out = batch.column("rep").to_pylist(), []
+            ids, out = batch.column("row").to_pylist(), []
             for a, b in zip(starts, [*starts[1:], len(pair)]):
-                mine, other = int(reps[query[q[a]]]), ids[image[r[a]]]
-                if b - a >= VOTES and mine != other:
+                mine, other = query[q[a]], ids[image[r[a]]]
+                if b - a >= VOTES and reps[mine] != other:
                     votes = agreeing(places[q[a:b]].astype(float), spots[r[a:b]].astype(float), q[a:b], r[a:b])
                     if votes:
-                        out.append((mine, other, votes))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["q_rep", "rep", "votes"])
+                        out.append((int(named[mine]), other, votes))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["copy_id", "row", "votes"])
 
     return run
 
 
-def _pairs(described: DataFrame, asked: DataFrame) -> DataFrame:
-    """q_rep, rep, votes; the queries' descriptors go out by blocks, whose number grows with them, not their size."""
+def _pairs(described: DataFrame) -> DataFrame:
+    """copy_id of a query, row of an image like it, votes, from described(row, copy_id, asked, places, words).
+
+    The queries' descriptors go out by blocks, whose number grows with them, not their size.
+    """
     spark = described.sparkSession
-    wanted = cut(described.join(asked, "rep", "left_semi"))
+    wanted = described.where("asked").select("row", "copy_id", "places", "words")
     corners = wanted.agg(F.sum(F.expr("length(words) div 32"))).first()[0] or 0
     blocks = -(-corners // BLOCK)
     found = None
     for k in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == k).collect()
+        rows = wanted.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == k).collect()
         words = [np.frombuffer(bytes(r.words), np.uint64).reshape(-1, 4) for r in rows]
         if not rows:
             continue
         places = np.concatenate([np.frombuffer(bytes(r.places), np.float32).reshape(-1, 4) for r in rows])
-        block = spark.sparkContext.broadcast((np.array([r.rep for r in rows]), np.array([len(w) for w in words]), places, np.concatenate(words)))
-        more = cut(described.select("rep", "places", "words").mapInArrow(_search(block, uuid.uuid4().hex), PAIR))
+        block = spark.sparkContext.broadcast((np.array([r.row for r in rows]), np.array([r.copy_id for r in rows]), np.array([len(w) for w in words]), places, np.concatenate(words)))
+        more = cut(described.select("row", "places", "words").mapInArrow(_search(block, uuid.uuid4().hex), PAIR))
         block.unpersist()
         found = more if found is None else found.union(more)
     return spark.createDataFrame([], PAIR) if found is None else found
 
 
-PAIR = "q_rep long, rep long, votes long"
+PAIR = "copy_id long, row long, votes long"
 
 
 def find_copies(images: DataFrame, is_query: Column) -> DataFrame:
     """One row for each row of images(image_id, image): image_id, copy_id, n_copies, matches.
 
-    copy_id is the least image_id with the same bytes, n_copies how many rows have them.  matches lists, for each
-    query image (is_query, a condition on image_id) that shows the same picture, the copy_id of the query and the
-    corners that agree; the picture itself is not listed.  Rows without id or image, or whose bytes are no image,
-    have no matches; without id or image no copy_id either.  Repeated rows count as copies.
+    copy_id is the least image_id with the same bytes, n_copies how many rows with an id have them.  matches lists,
+    for each query image (is_query, a condition on image_id) that shows the same picture, the copy_id of the query and
+    the corners that agree; the picture itself is not listed.  Rows are told apart by their bytes: of one image_id with
+    several images each has matches of its own.  Rows without id or image, or whose bytes are no image, have no
+    matches; without id or image no copy_id either.  Repeated rows count as copies.
     """
-    rows = images.select(F.col("image_id").cast("long").alias("image_id"), F.col("image").cast("binary").alias("image"))
-    asked = F.coalesce(is_query, F.lit(False))
-    marks = cut(rows.select("image_id", F.sha2("image", 256).alias("image_key"), asked.alias("asked"), F.coalesce(salt_of("image_id", SALTS), F.lit(0)).alias("salt")))
-    known = marks.where("image_id is not null and image_key is not null")
-    parts = known.groupBy("image_key", "salt").agg(F.min("image_id").alias("rep"), F.count("*").alias("n"), F.max("asked").alias("asked"))
-    reps = cut(parts.groupBy("image_key").agg(F.min("rep").alias("rep"), F.sum("n").alias("n_copies"), F.max("asked").alias("asked")))
-    named = cut(parts.select("image_key", "salt").join(reps, "image_key"))
-    keyed = marks.join(F.broadcast(named) if bounded(named) else named, ["image_key", "salt"], "left")
-    first = reps.select("rep")
-    once = rows.join(F.broadcast(first) if bounded(first) else first, F.col("image_id") == F.col("rep"))
-    twice = known.groupBy("image_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    once = once.dropDuplicates(["rep"]) if twice else once  # images are shuffled only where ids are repeated
-    described = cut(once.mapInArrow(_describe, "rep long, places binary, words binary"))
-    pairs = _pairs(described, reps.where("asked").select("rep"))
-    lists = cut(pairs.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.col("q_rep").alias("copy_id"), "votes"))).alias("matches")))
-    out = cut(keyed.select("image_id", F.col("rep").alias("copy_id"), "n_copies"))
-    few = bounded(lists)
-    if few:
-        out = out.join(F.broadcast(lists), out["copy_id"] == lists["rep"], "left")
-    else:
-        dealt = lists.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = out.withColumn("salt", salt_of("image_id", SALTS)).join(dealt, (F.col("copy_id") == F.col("rep")) & (F.col("salt") == F.col("s")), "left")
+    rows = images.select(F.col("image_id").cast("long").alias("image_id"), F.col("image").cast("binary").alias("image"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    every = cut(rows.mapInArrow(_describe, "image_id long, asked boolean, row long, image_key binary, places binary, words binary"))
+    marks = every.select("image_id", "asked", "row", "image_key", F.pmod(F.col("row"), F.lit(SALTS)).cast("int").alias("salt")).where("image_key is not null")
+    parts = marks.groupBy("image_key", "salt").agg(F.min("image_id").alias("copy_id"), F.count("image_id").alias("n"), F.max("asked").alias("asked"), F.min("row").alias("row"))
+    groups = cut(parts.groupBy("image_key").agg(F.min("copy_id").alias("copy_id"), F.sum("n").alias("n_copies"), F.max("asked").alias("asked"), F.min("row").alias("row")))
+    reps = groups.where("copy_id is not null").select("row", "copy_id", "asked")
+    described = every.where("words is not null").select("row", "places", "words").join(F.broadcast(reps) if bounded(reps) else reps, "row")
+    pairs = _pairs(described)
+    lists = cut(pairs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("copy_id", "votes"))).alias("matches")))
+    few = bounded(lists, elements=F.size("matches"))
+    named = groups.join(F.broadcast(lists) if few else lists, "row", "left").select("image_key", "copy_id", "n_copies", "matches")
+    named = cut(parts.select("image_key", "salt").join(named, "image_key"))
+    out = every.select("image_id", F.when(F.col("image_id").isNotNull(), F.col("image_key")).alias("key"), F.pmod(F.col("row"), F.lit(SALTS)).cast("int").alias("s"))
+    few = bounded(named, elements=1 + F.coalesce(F.size("matches"), F.lit(0)))
+    out = out.join(F.broadcast(named) if few else named, (F.col("key") == F.col("image_key")) & (F.col("s") == F.col("salt")), "left")
     empty = F.array().cast("array<struct<copy_id:bigint,votes:bigint>>")
     return out.select("image_id", "copy_id", "n_copies", F.coalesce("matches", empty).alias("matches"))
 

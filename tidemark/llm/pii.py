@@ -1,11 +1,11 @@
 """Personal data: fixed patterns, then information-theoretic sanitisation.
 
-The values that the patterns find are the protected entities.  Terms near their mentions are counted: in how many
-documents a term stands near an entity, and in how many documents of the whole corpus it occurs.  A term discloses
-an entity when its pointwise mutual information with it comes to a given share of the entity's information content,
-PMI(e; t) >= DISCLOSURE * -log p(e), seen in enough different contexts that copies of one passage don't tell.
-Such terms are removed near the entity, and the values are generalised to their kind.
-Only DataFrame expressions; the text is read once for spans and contexts, and once more for term frequencies.
+The values that the patterns find, and what such values share, are the protected entities.  Terms are counted over
+whole documents: in how many a term occurs with an entity, and in how many of the whole corpus.  A term discloses an
+entity when its pointwise mutual information with it comes to a given share of the entity's information content,
+PMI(e; t) >= DISCLOSURE * -log p(e), with mentions in enough different contexts that copies of one passage don't tell.
+Such terms are removed wherever they stand in a document that mentions the entity, and the values are generalised to
+their kind.  Only DataFrame expressions; texts are read for spans, for term frequencies, and those with entities again.
 """
 
 from __future__ import annotations
@@ -16,17 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded, cut, let, salt_of, small
-from .spans import count, disjoint, listed, matches, none, replaced
+from .spans import count, disjoint, listed, matches, paragraphs, piece, replaced
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]"]
 #: Share of an entity's information content that a term may not give away.
 DISCLOSURE = 0.9
-#: Different contexts in which a term must stand near an entity.
+#: Different contexts of mentions in whose documents a term must occur.
 LEAST_CONTEXTS = 3
-#: Code points before and after a mention that are its context.
-REACH = 120
-TERM = r"\p{L}{4,}"
+#: Code points before and after a mention by which contexts are told apart.
+AROUND = 60
+TERM = r"[\p{L}\p{N}]{2,}"
+#: Entities of a document that its terms meet at once.
+PART = 256
 #: Parts over which the rows of one entity and term are spread.
 SALTS = 64
 
@@ -64,91 +66,107 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def _windows(text: Column, spans: Column) -> Column:
-    """For each span its entity, the text on both sides, and where those begin and whether they are cut off."""
+def _entities(spans: Column, text: Column) -> Column:
+    """The entities that spans mention, each with a hash of the text around its mention: the value; and what values
+    share, so that rare ones have statistics too: person and host of an address, the first three parts of an IP, the
+    first six digits of a card or phone."""
 
-    def one(s: Column) -> Column:
-        start = F.greatest(s["start"] - REACH, F.lit(0))
-        return F.struct(
-            F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"),
-            F.array(
-                F.struct(start.alias("at"), F.substring(text, start + 1, s["start"] - start).alias("part"), (start > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-                F.struct(s["end"].alias("at"), F.substring(text, s["end"] + 1, F.lit(REACH)).alias("part"), F.lit(False).alias("cut_left"), (F.char_length(text) > s["end"] + REACH).alias("cut_right")),
-            ).alias("sides"),
-        )
+    def named(s: Column, held: Column) -> Column:
+        value = F.lower(s["value"])
+        six = F.substring(_digits(value), 1, 6)
+        shared = F.when(s["kind"] == 0, F.array(F.concat(F.lit("person "), F.substring_index(value, "@", 1)), F.concat(F.lit("host "), F.substring_index(value, "@", -1))))
+        shared = shared.when(s["kind"] == 1, F.array(F.concat(F.lit("net "), F.substring_index(value, ".", 3)))).otherwise(F.array(F.concat(F.get(F.array(*map(F.lit, KINDS)), s["kind"]), F.lit(" "), six)))
+        around = F.xxhash64(piece(held, F.greatest(s["start"] - AROUND, F.lit(0)), s["start"]), piece(held, s["end"], s["end"] + AROUND))
+        return F.transform(F.concat(F.array(F.concat(F.lit("value "), value)), shared), lambda e: F.struct(F.xxhash64(e).alias("entity"), around.alias("context")))
 
-    return F.transform(spans, one)
+    empty = F.array().cast("array<struct<entity:bigint,context:bigint>>")
+    every = let(paragraphs(text), lambda held: F.flatten(F.transform(spans, lambda s: named(s, held))))
+    return F.when(F.size(spans) > 0, every).otherwise(empty)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty) and a key that tells rows apart even where doc_id is missing or repeated."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    return docs.withColumns({"text": text, "doc": F.xxhash64(doc_id, text)})
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("doc"), text.alias("text"))
+
+
+def _plain(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    rows = _keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "doc", "text")
+    """doc_id, doc, spans and entities of each row."""
+    both = let(base_spans(F.col("text")), lambda s: F.struct(_plain(s).alias("spans"), _entities(s, F.col("text")).alias("entities")))
+    return cut(_keyed(docs).select("doc_id", "doc", both.alias("f")).select("doc_id", "doc", "f.spans", "f.entities"))
 
-    def both(s: Column) -> Column:  # other mentions near one are blanks
-        masked = F.when(F.size(s) > 0, replaced(F.col("text"), disjoint(s))).otherwise(F.lit(""))
-        return F.struct(s.alias("spans"), let(masked, lambda text: _windows(text, s)).alias("windows"))
 
-    rows = rows.select("doc_id", "doc", let(base_spans(F.col("text")), both).alias("f"))
-    plain = F.transform("f.spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return cut(rows.select("doc_id", "doc", plain.alias("spans"), F.col("f.windows").alias("windows")))
+def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of _keyed(docs) whose doc is in keys; where those are few, texts aren't shuffled."""
+    return _keyed(docs).join(small(keys), "doc", "left_semi")
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """One row for each term near a mention: doc, entity, context, term, start, end; none that touches a span."""
-    near = found.where(F.size("windows") > 0).select("doc", F.explode("windows").alias("w"))
-    side = near.select("doc", F.col("w.entity").alias("entity"), F.xxhash64("w.sides.part").alias("context"), F.explode("w.sides").alias("s"))
-    terms = side.select("doc", "entity", "context", "s", F.explode(let(F.col("s.part"), lambda p: matches(p, TERM, 4))).alias("t"))
-    whole = ~(F.col("s.cut_left") & (F.col("t.start") == 0)) & ~(F.col("s.cut_right") & (F.col("t.end") == F.char_length("s.part")))
-    return terms.where(whole).select(
-        "doc", "entity", "context", F.lower("t.value").alias("term"), (F.col("t.start") + F.col("s.at")).alias("start"), (F.col("t.end") + F.col("s.at")).alias("end")
-    )
+def _outside(text: Column) -> Column:
+    """Terms of a text, with places, that lie in no span of the fixed patterns."""
+    masked = let(base_spans(text), lambda s: F.when(F.size(s) > 0, replaced(text, disjoint(s))).otherwise(text))
+    return let(masked, lambda m: matches(m, TERM, 4))
 
 
-def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """entity, term, pmi, information: the terms that give entities away.
+def disclosing(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entity, term, pmi, information: the terms that give entities away; and doc, entity: who mentions which.
 
-    A term occurs in as many documents at least as it stands near any entity in.  Pairs that this bound already
-    clears need no count over the corpus; those of common words all do.
+    Co-occurrence is of whole documents.  Entities with too few contexts have no such terms.  Of the others' documents
+    all terms are taken whose count over the corpus could do for any entity; those meet the entities of their document,
+    a document with many of them in parts, and are counted before they are shuffled.
     """
     n = docs.count()
-    pairs = near.groupBy("entity", "term", "doc").agg(F.min("context").alias("context"))
-    pairs = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
-    entities = near.groupBy("entity", "doc").agg(F.lit(1).alias("x")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    least = near.groupBy("term", "doc").agg(F.lit(1).alias("x")).groupBy("term").agg(F.count("*").alias("n_near"))
+    mentions = found.where(F.size("entities") > 0).select("doc", F.explode("entities").alias("e")).select("doc", "e.entity", "e.context")
+    held = mentions.groupBy("doc", "entity").agg(F.min("context").alias("context"))
+    told_by = held.groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("contexts"))
     information = F.log(F.lit(float(n)) / F.col("n_entity"))
-
-    def pmi(n_term: str) -> Column:
-        return F.log(F.least("n_both", n_term, "n_entity") * F.lit(float(n)) / (F.col("n_entity") * F.col(n_term)))
-
-    pairs = pairs.where(F.col("contexts") >= LEAST_CONTEXTS).join(entities, "entity").join(least, "term")
-    pairs = cut(pairs.where((information > 0) & (pmi("n_near") >= DISCLOSURE * information)))
-    wanted = cut(pairs.select("term").distinct())
-    each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
+    entities = cut(told_by.where((F.col("contexts") >= LEAST_CONTEXTS) & (F.col("n_entity") < n)).select("entity", "n_entity", information.alias("information")))
+    known = entities.select("entity")
+    if bounded(known):
+        held = held.join(F.broadcast(known), "entity", "left_semi")
+    else:  # an entity that many documents mention is spread
+        dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        held = held.withColumn("salt", salt_of("doc", SALTS)).join(dealt, ["entity", "salt"], "left_semi").drop("salt")
+    held = cut(held)
+    keys = cut(held.groupBy("doc").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
+    lower = F.transform(_outside(F.col("text")), lambda t: F.lower(t["value"]))
+    terms = cut(_only(docs, keys.select("doc")).select("doc", F.explode(F.array_distinct(lower)).alias("term")).distinct())
+    wanted = cut(terms.groupBy("term").agg(F.count("*").alias("n_near")).where(F.col("n_near") >= LEAST_CONTEXTS))
+    each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
     if bounded(wanted):
-        df = each.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    else:
-        df = each.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
-    told = pairs.join(df, "term").select("entity", "term", pmi("n_term").alias("pmi"), information.alias("information"))
-    return told.where(F.col("pmi") >= DISCLOSURE * F.col("information"))
+        each = each.join(F.broadcast(wanted.select("term")), "term", "left_semi")
+    counted = each.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
+    # p(e | t) >= p(e) ** (1 - DISCLOSURE), and an entity is in LEAST_CONTEXTS documents at least
+    counted = cut(counted.where(F.col("n_near") / F.col("n_term") >= (LEAST_CONTEXTS / max(n, LEAST_CONTEXTS)) ** (1 - DISCLOSURE)).select("term", "n_term"))
+    few = bounded(counted)
+    terms = terms.join(F.broadcast(counted) if few else counted, "term", "left_semi").join(keys, "doc")
+    dealt = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("doc", "term", "part")
+    parts = held.join(keys, "doc").withColumn("part", F.pmod(F.xxhash64("entity"), F.col("parts")).cast("int")).select("doc", "entity", "context", "part")
+    pairs = dealt.join(parts, ["doc", "part"]).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS)
+    pmi = F.log(F.least("n_both", "n_term") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term")))
+    told = pairs.join(entities, "entity").join(counted, "term").select("entity", "term", pmi.alias("pmi"), "information")
+    return told.where((F.col("information") > 0) & (F.col("pmi") >= DISCLOSURE * F.col("information"))), held
 
 
 def added_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc and the spans of disclosing terms in it."""
-    near = cut(contexts(found))
-    told = cut(disclosing(docs, near))
+    """doc and the spans of disclosing terms, wherever they stand in a document that mentions the entity."""
+    told, held = disclosing(docs, found)
+    told = cut(told.select("entity", "term"))
     if bounded(told):
-        hits = near.join(F.broadcast(told), ["entity", "term"], "left_semi")
+        hits = held.join(F.broadcast(told), "entity")
     else:
         dealt = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = near.withColumn("salt", salt_of("doc", SALTS)).join(dealt, ["entity", "term", "salt"], "left_semi")
+        hits = held.withColumn("salt", salt_of("doc", SALTS)).join(dealt, ["entity", "salt"])
+    hits = cut(hits.select("doc", "term").distinct())
+    places = _only(docs, hits.select("doc").distinct()).select("doc", F.explode(_outside(F.col("text"))).alias("t")).select("doc", F.lower("t.value").alias("term"), "t.start", "t.end")
     span = F.struct(F.lit(4).alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
-    return cut(hits.select("doc", span.alias("span")).distinct().groupBy("doc").agg(F.array_sort(F.collect_list("span")).alias("added")))
+    hits = F.broadcast(hits) if bounded(hits) else hits
+    return cut(places.join(hits, ["doc", "term"], "left_semi").select("doc", span.alias("span")).distinct().groupBy("doc").agg(F.array_sort(F.collect_list("span")).alias("added")))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -160,7 +178,7 @@ def find(docs: DataFrame) -> DataFrame:
     found = _found(docs)
     added = added_spans(docs, found)
     empty = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return found.join(small(added), "doc", "left").select("doc_id", "spans", F.coalesce("added", empty).alias("added"))
+    return found.join(small(added, elements=F.size("added")), "doc", "left").select("doc_id", "spans", F.coalesce("added", empty).alias("added"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -175,8 +193,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     key, at, extra = (f"_{name}_{uuid.uuid4().hex}" for name in ("key", "at", "extra"))
     added = added_spans(docs, _found(docs)).select(F.col("doc").alias(at), F.col("added").alias(extra))
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(small(added), F.col(key) == F.col(at), "left")
-    plain = F.transform(base_spans(F.col("text")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    joined = keyed.join(small(added, elements=F.size(extra)), F.col(key) == F.col(at), "left")
+    plain = _plain(base_spans(F.col("text")))
     every = F.concat(plain, F.coalesce(extra, F.array().cast("array<struct<kind:int,start:int,end:int>>")))
     clean = let(every, lambda s: F.when(F.size(s) == 0, F.col("text")).otherwise(replaced(F.col("text"), disjoint(s), LABELS)))
     out = joined.withColumn("text", F.when(F.col("text").isNotNull(), clean))

@@ -117,24 +117,41 @@ def vector() -> list[Column]:
     return [p.cast("double").alias(f"x{i}") for i, p in enumerate(parts)]
 
 
-def _inverse_factor(est: DataFrame) -> DataFrame:
-    """Adds u{i}_{k}, the inverse of the Cholesky factor of the scatter c{i}_{k}, and logdet, the log of its
-    determinant."""
-    columns = est.columns
-    for j in range(_D):
-        pivot = F.col(f"c{j}_{j}") - sum((F.col(f"l{j}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-        est = est.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(pivot, F.lit(1e-12))))
-        est = est.withColumns({f"l{i}_{j}": (F.col(f"c{i}_{j}") - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}_{j}") for i in range(j + 1, _D)})
-    for i in range(_D):
-        below = {f"u{i}_{k}": -sum((F.col(f"l{i}_{m}") * F.col(f"u{m}_{k}") for m in range(k, i)), F.lit(0.0)) / F.col(f"l{i}_{i}") for k in range(i)}
-        est = est.withColumns({**below, f"u{i}_{i}": 1 / F.col(f"l{i}_{i}")})
-    logdet = sum((F.log(f"l{i}_{i}") for i in range(_D)), F.lit(0.0)) * 2
-    return est.select(*columns, *(f"u{i}_{k}" for i, k in _PAIRS), logdet.alias("logdet"))
+def _square(value: Callable[[Column, Column], Column]) -> Column:
+    """A matrix by rows, as an array, of value(row, column)."""
+    return F.transform(F.sequence(F.lit(0), F.lit(_D * _D - 1)), lambda t: value(F.floor(t / _D).cast("int"), t % _D))
+
+
+def _inverted(est: DataFrame) -> DataFrame:
+    """Adds p, the inverse of the scatter c, and logdet, the log of its determinant, by sweeping each row in turn."""
+
+    def sweep(now: Column, k: Column) -> Column:
+        a = now["a"]
+
+        def at(i: Column, j: Column) -> Column:
+            return F.get(a, i * _D + j)
+
+        def swept(pivot: Column) -> Column:
+            def value(i: Column, j: Column) -> Column:
+                both = at(i, j) - at(i, k) * at(k, j) / pivot
+                return F.when((i == k) & (j == k), -1 / pivot).when((i == k) | (j == k), at(i, j) / pivot).otherwise(both)
+
+            return F.struct(_square(value).alias("a"), (now["logdet"] + F.log(pivot)).alias("logdet"))
+
+        return let(F.greatest(at(k, k), F.lit(1e-12)), swept)
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(_D - 1)), F.struct(F.col("c").alias("a"), F.lit(0.0).alias("logdet")), sweep)
+    out = est.withColumn("done", let(done, lambda d: d)).withColumn("p", F.transform("done.a", lambda x: -x))
+    return out.withColumn("logdet", F.col("done.logdet")).drop("done")
 
 
 def _distance() -> Column:
-    whitened = [sum((F.col(f"u{i}_{k}") * (F.col(f"x{k}") - F.col(f"m{k}")) for k in range(i + 1)), F.lit(0.0)) for i in range(_D)]
-    return sum((z * z for z in whitened), F.lit(0.0))
+    """The squared Mahalanobis distance of a row's x from m by p."""
+
+    def of(d: list[Column]) -> Column:
+        return sum((d[i] * d[k] * F.get("p", F.lit(i * _D + k)) * (1 if i == k else 2) for i, k in _PAIRS), F.lit(0.0))
+
+    return of([F.col(f"x{i}") - F.get("m", F.lit(i)) for i in range(_D)])
 
 
 def _meet(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
@@ -145,65 +162,66 @@ def _meet(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     return rows.withColumn("salt", salt_of("doc_id", SALTS)).join(dealt, ["level", "key", "salt"]).drop("salt")
 
 
+def _matrix(name: Callable[[int, int], Column]) -> Column:
+    """A symmetric matrix of the columns that name gives for its lower half."""
+    return F.array(*(name(max(i, k), min(i, k)) for i in range(_D) for k in range(_D)))
+
+
 def _starts(rows: DataFrame, few: bool) -> DataFrame:
     """Estimates to begin with, for each level, key and start: medians with deviations; with the correlation of
     directions from there; with that of values bent towards the middle; and single rows, drawn by hashes."""
-    medians = cut(rows.groupBy("level", "key").agg(F.count("*").alias("n"), *(F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(_D))))
-    deviations = [F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000) * 1.4826 for i in range(_D)]
-    spread = _meet(rows, medians, few).groupBy("level", "key").agg(*(F.greatest(d, F.lit(floor)).alias(f"s{i}") for (i, d), floor in zip(enumerate(deviations), VECTOR.values())))
-    middle = cut(medians.join(spread, ["level", "key"]))
-    z = [((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}")) for i in range(_D)]
-    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(_D)), F.lit(1e-9)))
-    scaled = _meet(rows, middle, few).withColumns({f"z{i}": x for i, x in enumerate(z)}).withColumn("length", length)
-    turn = {i: F.col(f"z{i}") / F.col("length") for i in range(_D)}
-    bent = {i: F.tanh(f"z{i}") for i in range(_D)}
-    drawn = F.struct(*(f"x{i}" for i in range(_D)))
+    middle = F.array(*(F.percentile_approx(f"x{i}", 0.5, 1000) for i in range(_D)))
+    medians = cut(rows.groupBy("level", "key").agg(F.count("*").alias("n"), middle.alias("m")))
+    off = [F.abs(F.col(f"x{i}") - F.get("m", F.lit(i))) for i in range(_D)]
+    spread = F.array(*(F.greatest(F.percentile_approx(d, 0.5, 1000) * 1.4826, F.lit(floor)) for d, floor in zip(off, VECTOR.values())))
+    middle = cut(medians.join(_meet(rows, medians, few).groupBy("level", "key").agg(spread.alias("s")), ["level", "key"]))
+    xs = [f"x{i}" for i in range(_D)]
+    scaled = _meet(rows, middle, few).withColumns({f"z{i}": (F.col(x) - F.get("m", F.lit(i))) / F.get("s", F.lit(i)) for i, x in enumerate(xs)})
+    scaled = scaled.withColumn("length", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(_D)), F.lit(1e-9)))
     told = scaled.groupBy("level", "key").agg(
-        *(F.avg(turn[i] * turn[k]).alias(f"a{i}_{k}") for i, k in _PAIRS),
-        *(F.avg(bent[i] * bent[k]).alias(f"b{i}_{k}") for i, k in _PAIRS),
-        *(F.min_by(drawn, F.xxhash64(F.lit(d), *(f"x{i}" for i in range(_D)))).alias(f"d{d}") for d in range(DRAWN)),
+        _matrix(lambda i, k: F.avg(F.col(f"z{i}") * F.col(f"z{k}") / F.col("length"))).alias("turns"),
+        _matrix(lambda i, k: F.avg(F.tanh(f"z{i}") * F.tanh(f"z{k}"))).alias("bends"),
+        F.array(*(F.min_by(F.array(*xs), F.xxhash64(F.lit(d), *xs)) for d in range(DRAWN))).alias("drawn"),
     )
     told = cut(middle.join(told, ["level", "key"]))
 
-    def start(number: int, location: list[Column], correlation: str | None) -> DataFrame:
-        def part(i: int, k: int) -> Column:
-            own = F.col(f"s{i}") * F.col(f"s{k}")
-            if i == k:
-                return own
-            if correlation is None:
-                return F.lit(0.0)
-            c = F.col(f"{correlation}{i}_{k}") / F.sqrt(F.greatest(F.col(f"{correlation}{i}_{i}") * F.col(f"{correlation}{k}_{k}"), F.lit(1e-12)))
-            return own * c * 0.95
+    def scatter(r: Column | None) -> Column:
+        def value(i: Column, k: Column) -> Column:
+            if r is None:
+                return F.when(i == k, F.get("s", i) * F.get("s", k)).otherwise(F.lit(0.0))
+            size = F.sqrt(F.greatest(F.get(r, i * _D + i) * F.get(r, k * _D + k), F.lit(1e-12)))
+            return F.get("s", i) * F.get("s", k) * F.when(i == k, F.lit(1.0)).otherwise(0.95 * F.get(r, i * _D + k) / size)
 
-        return told.select("level", "key", F.lit(number).alias("start"), "n", *(m.alias(f"m{i}") for i, m in enumerate(location)), *(part(i, k).alias(f"c{i}_{k}") for i, k in _PAIRS))
+        return _square(value)
 
-    medians = [F.col(f"m{i}") for i in range(_D)]
-    out = start(0, medians, None).union(start(1, medians, "a")).union(start(2, medians, "b"))
-    for d in range(DRAWN):
-        out = out.union(start(3 + d, [F.col(f"d{d}.x{i}") for i in range(_D)], None))
-    return out
+    plain = [F.struct(F.col("m").alias("m"), scatter(r).alias("c")) for r in (None, F.col("turns"), F.col("bends"))]
+    single = [F.struct(F.get("drawn", F.lit(d)).alias("m"), scatter(None).alias("c")) for d in range(DRAWN)]
+    return told.select("level", "key", "n", F.posexplode(F.array(*plain, *single)).alias("start", "e")).select("level", "key", "start", "n", "e.m", "e.c")
 
 
 def _concentrate(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
     """The estimates from the closest share of rows of each estimate of now."""
     floors = list(VECTOR.values())
     by = ["level", "key", "start"]
-    far = _meet(rows, now, few).groupBy(*by).agg(F.percentile_approx(_distance(), SHARE, 10_000).alias("far"))
-    near = _meet(rows, now.join(far, by), few).where(_distance() <= F.col("far"))
-    sums = near.groupBy(*by).agg(F.first("n").alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(_D)), *(F.avg(F.col(f"x{i}") * F.col(f"x{k}")).alias(f"q{i}_{k}") for i, k in _PAIRS))
-    scatter = [(F.col(f"q{i}_{k}") - F.col(f"m{i}") * F.col(f"m{k}") + (floors[i] ** 2 if i == k else 0.0)).alias(f"c{i}_{k}") for i, k in _PAIRS]
-    return cut(_inverse_factor(sums.select(*by, "n", *(f"m{i}" for i in range(_D)), *scatter)))
+    apart = _meet(rows, now.select(*by, "m", "p"), few).withColumn("d", _distance())
+    far = apart.groupBy(*by).agg(F.percentile_approx("d", SHARE, 10_000).alias("far"))
+    near = _meet(rows, now.select(*by, "n", "m", "p").join(far, by), few).where(_distance() <= F.col("far"))
+    mean = F.array(*(F.avg(f"x{i}") for i in range(_D)))
+    sums = near.groupBy(*by).agg(F.first("n").alias("n"), mean.alias("m"), _matrix(lambda i, k: F.avg(F.col(f"x{i}") * F.col(f"x{k}"))).alias("q"))
+    floor = F.array(*(F.lit(x * x) for x in floors))
+    scatter = _square(lambda i, k: F.get("q", i * _D + k) - F.get("m", i) * F.get("m", k) + F.when(i == k, F.get(floor, i)).otherwise(0.0))
+    return cut(_inverted(sums.select(*by, "n", "m", scatter.alias("c"))))
 
 
 def estimates(rows: DataFrame, few: bool = True) -> DataFrame:
-    """Location m, scatter c, inverse factor u, logdet and scale of the minimum covariance determinant estimate of each
+    """Location m, scatter c, its inverse p, logdet and scale of the minimum covariance determinant estimate of each
     level and key of rows(doc_id, level, key, x0, ...).
 
     All starts are concentrated FIRST times; the one of least determinant goes on until no group's determinant falls
     any more.  few: there are few groups.
     """
     by = ["level", "key"]
-    now = cut(_inverse_factor(_starts(rows, few)))
+    now = cut(_inverted(_starts(rows, few)))
     for _ in range(FIRST):
         now = _concentrate(rows, now, few)
     best = cut(now.groupBy(*by).agg(F.min_by(F.struct(*(c for c in now.columns if c not in by)), F.struct("logdet", "start")).alias("e")).select(*by, "e.*"))
@@ -218,13 +236,12 @@ def estimates(rows: DataFrame, few: bool = True) -> DataFrame:
     return best.join(scale, by).drop("start")
 
 
-def _lean(est: DataFrame, parent: Callable[[str], Column]) -> DataFrame:
-    """est drawn towards the parent's estimates as if those were LEAN rows more: the mixture's location and scatter."""
+def _lean(est: DataFrame, m: Column, c: Column, scale: Column) -> DataFrame:
+    """est drawn towards the estimate m, c, scale as if that were LEAN rows more: the mixture's location and scatter."""
     w = F.col("n") / (F.col("n") + LEAN)
-    apart = [F.col(f"m{i}") - parent(f"m{i}") for i in range(_D)]
-    location = {f"m{i}": w * F.col(f"m{i}") + (1 - w) * parent(f"m{i}") for i in range(_D)}
-    scatter = {f"c{i}_{k}": w * F.col(f"c{i}_{k}") + (1 - w) * parent(f"c{i}_{k}") + w * (1 - w) * apart[i] * apart[k] for i, k in _PAIRS}
-    return est.withColumns({**location, **scatter, "scale": w * F.col("scale") + (1 - w) * parent("scale")})
+    apart = F.transform("m", lambda x, i: x - F.get(m, i))
+    scatter = _square(lambda i, k: w * F.get("c", i * _D + k) + (1 - w) * F.get(c, i * _D + k) + w * (1 - w) * F.get(apart, i) * F.get(apart, k))
+    return est.select(*(x for x in est.columns if x not in ("m", "c", "scale")), F.transform("m", lambda x, i: w * x + (1 - w) * F.get(m, i)).alias("m"), scatter.alias("c"), (w * F.col("scale") + (1 - w) * scale).alias("scale"))
 
 
 def apply_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -243,14 +260,14 @@ def apply_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     rows = good.select("doc_id", *(f"x{i}" for i in range(_D)), F.posexplode(F.array(*keys)).alias("level", "key"))
     own = cut(good.select(keys[0].alias("key"), keys[1].alias("lang_key")).distinct())
     few = bounded(own, BROADCAST_GROUPS)
-    columns = ["n", "scale", *(f"m{i}" for i in range(_D)), *(f"c{i}_{k}" for i, k in _PAIRS)]
     found = cut(estimates(rows, few))
-    whole = found.where("level = 2").select(*columns).first()  # one row; none where nothing passes
-    langs = found.where("level = 1").select("key", *columns)
-    langs = cut(_lean(langs, lambda c: F.lit(whole[c] if whole else 0.0)).select(F.col("key").alias("lang_key"), *(F.col(c).alias(f"p_{c}") for c in columns)))
-    groups = found.where("level = 0").select("key", *columns).join(own, "key").join(langs, "lang_key")
-    groups = cut(_lean(groups, lambda c: F.col(f"p_{c}")).select(F.lit(0).alias("level"), "key", *columns))
-    choice = cut(_inverse_factor(groups).drop("n", "logdet", *(f"c{i}_{k}" for i, k in _PAIRS)))
+    whole = found.where("level = 2").select("m", "c", "scale").first()  # one row; none where nothing passes
+    whole = [F.array(*map(F.lit, whole["m"])), F.array(*map(F.lit, whole["c"])), F.lit(whole["scale"])] if whole else [F.col("m"), F.col("c"), F.col("scale")]
+    langs = _lean(found.where("level = 1").select("key", "n", "m", "c", "scale"), *whole)
+    langs = cut(langs.select(F.col("key").alias("lang_key"), F.col("m").alias("m1"), F.col("c").alias("c1"), F.col("scale").alias("scale1")))
+    groups = found.where("level = 0").select("key", "n", "m", "c", "scale").join(own, "key").join(langs, "lang_key")
+    groups = _inverted(_lean(groups, F.col("m1"), F.col("c1"), F.col("scale1")))
+    choice = cut(groups.select(F.lit(0).alias("level"), "key", "m", "p", "scale"))
     every = stats.select("*", F.lit(0).alias("level"), keys[0].alias("key")).withColumns({f"x{i}": c for i, c in enumerate(vector())})
     passed = _meet(every.where("not base_failed"), choice, few).withColumn("distance", _distance() / F.col("scale"))
     columns = ["doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

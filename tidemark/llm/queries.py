@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kneser_ney, media, ngram_join, packing, pieces, pii, quality_rules, secrets, sharding, url_filters
-from .shared import table
+from .shared import scope, table, written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
 def query(f):
+    """Register f, whose result is written as a table of its own, so that those it cuts on the way can go."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scope(spark):
+            return written(f(spark, sf_dir))[0]
+
+    QUERIES[f.__name__] = run
+    return run
+
+
+def plain(f):
+    """Register f, which cuts no tables."""
     QUERIES[f.__name__] = f
     return f
 
@@ -38,7 +53,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
-@query
+@plain
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -48,7 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-@query
+@plain
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), "doc_id")
 
@@ -76,7 +91,7 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"))
 
 
-@query
+@plain
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and a checksum of what they decode to."""
     path = public_tokenizers.path("piece_bpe_32k.model")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import let
-from .spans import count, listed, matches
+from .spans import count, listed, matches, scan
 
 KINDS = ["assign", "access", "hex", "random"]
 #: Characters of keys; anything else, and the border of a string, counts as one more.
@@ -120,6 +120,21 @@ def _ordered(spans: Column) -> Column:
     )
 
 
+def _clear(runs: Column, base: Column) -> Column:
+    """The runs that overlap no span of base: both in one order, no base span before reaches into a run and none after
+    begins in it."""
+
+    def told(both: Column) -> Column:
+        ends = scan(both, F.lit(-1), lambda at, x: F.when(x["run"] < 0, F.greatest(at, x["end"])).otherwise(at))
+        starts = F.reverse(scan(F.reverse(both), F.lit(2**31 - 1), lambda at, x: F.when(x["run"] < 0, x["start"]).otherwise(at)))
+        clear = let(ends, lambda e: let(starts, lambda s: F.filter(both, lambda x, j: (x["run"] >= 0) & (F.get(e, j) <= x["start"]) & (F.get(s, j) >= x["end"]))))
+        return F.transform(clear, lambda x: F.get(runs, x["run"]))
+
+    places = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(-1).alias("run"), b["end"].alias("end")))
+    places = F.concat(places, F.transform(runs, lambda r, i: F.struct(r["start"].alias("start"), i.alias("run"), r["end"].alias("end"))))
+    return F.when((F.size(runs) == 0) | (F.size(base) == 0), runs).otherwise(let(F.array_sort(places), told))
+
+
 def find(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, spans (of the fixed patterns) and added (random strings beside them).
 
@@ -130,7 +145,7 @@ def find(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def both(base: Column) -> Column:
-        runs = F.filter(matches(F.col("text"), RUN, 3), lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+        runs = let(matches(F.col("text"), RUN, 3), lambda found: _clear(found, base))
         return F.struct(_ordered(base).alias("spans"), _ordered(F.filter(runs, lambda r: ratio(r["value"], table) >= LEAST_RATIO)).alias("added"))
 
     return rows.select("doc_id", let(base_spans(F.col("text")), both).alias("f")).select("doc_id", "f.spans", "f.added")

@@ -2,23 +2,23 @@
 
 Urls that a rule decides are the labelled ones.  Level by level, the segments that follow a template of a host are
 counted; a segment stays literal only where it is common enough among its siblings, or where its labelled share
-differs from theirs, else it becomes a wildcard of its shape.  From the host down to the leaves each branch's share of
-blocked urls is smoothed towards its parent's; a branch without labels, or whose share doesn't differ statistically
-from its parent's, is merged into it and judged by the evidence of what it is merged into.
+differs from theirs, else it becomes a wildcard of its shape.  A branch below which all urls are alike is done, so that
+depth is not bounded.  Branches of one parent are put in order of their share of blocked urls, and neighbours that don't
+differ statistically are merged.  From the host down to the leaves the share of each merged branch is smoothed towards
+its parent's; one without labels, or whose share doesn't differ from its parent's, is merged into the parent and judged
+by the evidence of what it is merged into.
 All counts are grouped sums over host and template, salted where a host's rows must meet its templates again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bounded, cut, let, salt_of
 
 #: Fixed values: (verdict, host, path) of the listed rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Levels of the tree; what is deeper counts as one segment **.
-DEPTH = 6
 #: A segment stays literal with this share of its siblings' urls.
 LEAST_SHARE = 0.02
 #: Weight of the parent's share, labelled urls that a verdict needs, and the share from which a template goes.
@@ -63,10 +63,9 @@ def shape(segment: Column) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """Segments of a path; numbers and the like take their shape at once, what is deeper than DEPTH becomes **."""
+    """Segments of a path; numbers and the like take their shape at once."""
     named = F.filter(F.split(path, "/"), lambda s: s != "")
-    shown = F.transform(named, lambda s: let(shape(s), lambda w: F.when(w == "{word}", s).otherwise(w)))
-    return F.when(F.size(shown) > DEPTH, F.concat(F.slice(shown, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(shown)
+    return F.transform(named, lambda s: let(shape(s), lambda w: F.when(w == "{word}", s).otherwise(w)))
 
 
 def _meet(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,7 +73,7 @@ def _meet(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     if bounded(found):
         return rows.join(F.broadcast(found), keys, "left")
     dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", salt_of(F.concat_ws("/", "segments"), SALTS)).join(dealt, [*keys, "salt"], "left").drop("salt")
+    return rows.withColumn("salt", salt_of(F.xxhash64(F.monotonically_increasing_id()), SALTS)).join(dealt, [*keys, "salt"], "left").drop("salt")
 
 
 def _same(n: Column, k: Column, above: Column) -> Column:
@@ -87,24 +86,48 @@ def templates(urls: DataFrame) -> DataFrame:
     """host, segments, template for each different host and segments of urls(host, segments, blocked, ...)."""
     told = (F.count("blocked").alias("told"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0)).alias("k"))
     rows = cut(urls.groupBy("host", "segments").agg(F.count("*").alias("n"), *told).withColumn("template", F.lit("")))
-    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(deepest):
+    done, level = None, 0
+    while True:
+        # where one path is all that is left of a branch, nothing below is to be decided
+        alone = rows.groupBy("host", "template").agg(F.count("*").alias("paths")).where("paths = 1").select("host", "template", F.lit(True).alias("alone"))
+        rows = cut(_meet(rows, cut(alone), ["host", "template"]))
+        ends = F.coalesce("alone", F.lit(False)) | (F.size("segments") <= level)
+        rest = F.array_join(F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))), "/")
+        ended = rows.where(ends).select("host", "segments", F.when(rest == "", F.col("template")).otherwise(F.concat_ws("/", "template", rest)).alias("template"))
+        done = ended if done is None else done.union(ended)
+        rows = rows.where(~ends).drop("alone")
+        if rows.isEmpty():
+            return done
         step = rows.withColumn("next", F.get("segments", F.lit(level)))
-        children = step.where("next is not null").groupBy("host", "template", "next").agg(F.sum("n").alias("urls"), F.sum("told").alias("told"), F.sum("k").alias("k"))
+        children = step.groupBy("host", "template", "next").agg(F.sum("n").alias("urls"), F.sum("told").alias("told"), F.sum("k").alias("k"))
         parents = children.groupBy("host", "template").agg(F.sum("urls").alias("all"), ((F.sum("k") + 0.5) / (F.sum("told") + 1)).alias("above"))
         literal = _meet(children.withColumn("segments", F.array("next")), cut(parents), ["host", "template"])
         literal = cut(literal.where((F.col("urls") >= LEAST_SHARE * F.col("all")) | ~_same(F.col("told"), F.col("k"), F.col("above"))).select("host", "template", "next", F.lit(True).alias("literal")))
         step = _meet(step, literal, ["host", "template", "next"])
-        shown = F.when(F.col("literal") | F.col("next").startswith("{") | (F.col("next") == "**"), F.col("next")).otherwise("{word}")
-        rows = cut(step.select("host", "segments", "n", "told", "k", F.when(F.col("next").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", shown)).alias("template")))
-    return rows.select("host", "segments", "template")
+        shown = F.when(F.col("literal") | F.col("next").startswith("{"), F.col("next")).otherwise("{word}")
+        rows = cut(step.select("host", "segments", "n", "told", "k", F.concat_ws("/", "template", shown).alias("template")))
+        level += 1
+
+
+def _with_siblings(nodes: DataFrame) -> DataFrame:
+    """nodes with n and k of all that are merged with them: in order of their shares, the labelled branches of a parent
+    go together while neighbours don't differ, by the deviation of the difference of two shares."""
+    told = nodes.withColumn("told", F.col("n") > 0)
+    order = Window.partitionBy("host", "parent", "told").orderBy(F.col("k") / F.col("n"), "node")
+    n0, k0 = F.lag("n").over(order), F.lag("k").over(order)
+    pooled = (F.col("k") + k0) / (F.col("n") + n0)
+    differ = F.abs(F.col("k") / F.col("n") - k0 / n0) > SAME * F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / n0))
+    told = told.withColumn("first", F.coalesce((F.col("told") & differ).cast("int"), F.lit(0)))
+    told = told.withColumn("group", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("host", "parent", "told", "group")
+    return told.withColumns({"n": F.sum("n").over(whole), "k": F.sum("k").over(whole)}).drop("told", "first", "group")
 
 
 def judge(labelled: DataFrame) -> DataFrame:
     """host, template, merged, purity, rejected from labelled(host, template, blocked; blocked may be null).
 
-    Level by level from the host: purity is smoothed towards the purity above; n is how many labels tell of the branch
-    that a template is merged into.
+    Level by level from the host: similar branches of one parent are merged, purity is smoothed towards the purity
+    above; n is how many labels tell of the branch that a template is merged into.
     """
     leaves = cut(labelled.groupBy("host", "template").agg(F.count("blocked").alias("n"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0)).alias("k")))
     whole = leaves.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.max(F.size(F.split("template", "/"))).alias("depth")).first()
@@ -117,7 +140,7 @@ def judge(labelled: DataFrame) -> DataFrame:
         if above is None:
             same, p, group = F.lit(False), F.lit(prior), F.col("n")
         else:
-            nodes = nodes.withColumn("parent", F.substring_index("node", "/", level - 1)).withColumn("segments", F.array("node"))
+            nodes = _with_siblings(nodes.withColumn("parent", F.substring_index("node", "/", level - 1))).withColumn("segments", F.array("node"))
             nodes = _meet(nodes, above, ["host", "parent"])
             same, p, group = _same(F.col("n"), F.col("k"), F.col("above")), F.col("above"), F.col("above_n")
         purity = F.when(same, p).otherwise((F.col("k") + WEIGHT * p) / (F.col("n") + WEIGHT))
