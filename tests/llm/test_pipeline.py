@@ -8,18 +8,18 @@ import corpus_pipeline
 from tests.llm.test_ngram_join import brute as brute_groups
 from tests.llm.test_packing import held
 from tests.llm.test_quality import base
-from tests.llm.test_spans import private_spans
+from tests.llm.test_spans import brute_terms, private_spans
 from tidemark.llm.packing import best_fit
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]"]
+LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]"]
 
 
-def cleaned(text):
-    """text with stretches of personal data replaced, where no term is disclosed."""
-    kinds = ["email", "ip", "card", "phone"]
+def cleaned(text, terms):
+    """text with stretches of personal data and disclosing terms replaced."""
+    kinds = ["email", "ip", "card", "phone", "term"]
     out = []
-    for k, a, b in sorted(private_spans(text), key=lambda s: (s[1], s[2], kinds.index(s[0]))):
+    for k, a, b in sorted(private_spans(text) + [("term", *x) for x in terms], key=lambda s: (s[1], s[2], kinds.index(s[0]))):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -77,7 +77,9 @@ def test_stages(spark, tmp_path):
                 least.setdefault(groups[i][0], set()).add((r[0] is None, r[0] or 0, t))
     assert sorted(map(str, kept)) == sorted({str(r) for r in fluent if any((r[0] is None, r[0] or 0, r[1]) == min(g) for g in least.values())})
     private = run("pii", again(kept))
-    want = [(d, cleaned(t), la, s, len(cleaned(t))) for d, t, la, s, _ in kept]
+    told = brute_terms([(i, r[1]) for i, r in enumerate(kept)])
+    clean = [cleaned(r[1], told[i]) for i, r in enumerate(kept)]
+    want = [(r[0], t, r[2], r[3], len(t)) for r, t in zip(kept, clean)]
     assert sorted(map(str, private)) == sorted(map(str, want))
     packed = stages["packing"](spark, again([(i, *r[1:]) for i, r in enumerate(private)]), str(tmp_path)).collect()
     full = held(packed, [r[1] for r in private], 2048)
