@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -13,7 +15,9 @@ from tidemark.operators import aggregate, blocks, correlate, scan
 from tidemark.operators.downsample import downsample
 from tidemark.plans.query import Query, execute, execute_multi
 from tidemark.sources import points as P
+from tidemark.operators.ranks import placed
 from tidemark.sources.journal import Journal
+from tidemark.sources.store import PointStore
 from tidemark.streaming import ingest
 
 
@@ -200,7 +204,12 @@ def test_catalogue(spark):
     assert rows(scan.series_snapshot(p, "metric.1").select("block_id", "is_open", F.size("points"))) == [(0, True, 1)]
     stay, gone = scan.retain(p, 1000)
     assert stay.count() == 3 and gone.count() == 0
-    assert all(0 <= r.shard < 256 for r in scan.shard_of(p).collect())
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(1000)], "series_key string")
+    shards = ["a", "b", "c", "d"]
+    of = {r.series_key: r.shard for r in scan.shard_of(keys, shards).collect()}
+    assert len(of) == 1000 and set(of.values()) == set(shards)
+    moved = scan.rebalanced(keys, shards, [*shards, "e"]).collect()
+    assert 80 < len(moved) < 350 and all(r["to"] == "e" and of[r["series_key"]] == r["from"] for r in moved)
     dirty = spark.createDataFrame([("a", 1, 1.0, 0), (None, 1, 1.0, 1), ("a", None, 1.0, 2), ("a", 1, None, 3)], P.POINTS)
     assert P.clean(dirty).count() == 1
 
@@ -238,3 +247,82 @@ def test_filters_reach_the_scan(spark):
     plan = p._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters") :]
     assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed and "event_type" in pushed
+
+
+def test_many_blocks_at_once():
+    """Blocks encoded side by side are those encoded one by one, and are read back side by side."""
+    r = np.random.default_rng(1)
+    sizes = [1, 2, 50, 1, 7, 300]
+    ts = [np.cumsum(r.integers(-500, 4000, n)) for n in sizes]
+    values = [r.choice([1.5, 2.5, np.nan, -0.0, 0.0, np.inf], n) for n in sizes]
+    for short in (False, True):
+        got = codec.encode_many(np.concatenate(ts), np.concatenate(values), np.repeat(np.arange(6), sizes), short)
+        assert got == [codec.encode(t, v, short) for t, v in zip(ts, values)]
+        block, place, t2, v2 = codec.decode_many(np.array([t[0] for t in ts]), np.array([v[0] for v in values]), np.array(sizes), got, short)
+        order = np.lexsort((place, block))
+        assert (t2[order] == np.concatenate(ts)).all() and (v2[order].view(np.uint64) == np.concatenate(values).view(np.uint64)).all()
+        with pytest.raises(CodecError):
+            codec.decode(0, 1.0, 300, got[5][:-3], short)
+
+
+class Held:
+    """A state as the stream keeps it for a series."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.timeout = None, False, False, None
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_idle_blocks_are_sealed():
+    """When no point has come in time, the open block is sealed; the next point opens another; nothing is sealed twice."""
+    run, state = ingest.machine(7_200_000, idle_ms=5_000), Held()
+    frame = lambda *rows: iter([pd.DataFrame([(t, float(v), k) for k, (t, v) in enumerate(rows)], columns=["ts_ms", "value", "seq"])])
+    assert next(run(("s",), frame((1000, 1), (1500, 2)), state)).empty and state.timeout == 5_000
+    state.hasTimedOut = True
+    assert next(run(("s",), iter([]), state)).values.tolist() == [["s", 0, 1000, 1500, 2, 1.0]]
+    assert next(run(("s",), iter([]), state)).empty
+    state.hasTimedOut = False
+    assert next(run(("s",), frame((1600, 3)), state)).empty and tuple(state.get) == (1, 1600, 1600, 1, 3.0)
+
+
+def test_store(spark, tmp_path):
+    day = 86_400_000
+    store = PointStore(spark, str(tmp_path / "store"), 4)
+    assert store.points().count() == 0
+    rows = [("a", 10, 1.0), ("b", day + 5, 2.0), ("a", day + 7, 3.0), ("a", 2 * day, 4.0)]
+    store.append(P.create(spark, rows[:2]))
+    PointStore(spark, store.path, 4).append(P.create(spark, rows[2:]))
+    shown = lambda df: sorted((r.series_key, r.ts_ms, r.value) for r in df.collect())
+    assert shown(store.points()) == sorted(rows) and shown(store.series("a", 0, day + 7)) == [rows[0], rows[2]]
+    assert store.retain(day + 6) == 2 and shown(store.points()) == [rows[2], rows[3]] and store.retain(day + 6) == 0
+
+
+def test_journal_recovers(spark, tmp_path):
+    journal = Journal(spark, str(tmp_path / "log"))
+    journal.append(P.create(spark, [("s", 0, 1.0), ("s", 7_199_999, 2.0), ("s", 7_200_000, 3.0)]))
+    sealed, head = journal.recover()
+    assert [tuple(r) for r in sealed.collect()] == [("s", 0, 0, 7_199_999, 2, 1.0)]
+    assert [(r.ts_ms, r.value) for r in head.collect()] == [(7_200_000, 3.0)]
+
+
+def test_ranks_and_rolling_by_slices(spark, monkeypatch):
+    """Against the definitions, with ties and slices far smaller than the table."""
+    r = np.random.default_rng(2)
+    x = r.integers(0, 40, 500).astype(float)
+    got = {v.x: (v.ties, v.before, v.n) for v in placed(spark.createDataFrame([(float(v),) for v in x], "x double"), "x", ranges=8).collect()}
+    assert got == {v: ((x == v).sum(), (x < v).sum(), 500) for v in set(x)}
+    monkeypatch.setattr(correlate, "SLICE", 16)
+    y = x + r.normal(0, 5, 500)
+    pairs = spark.createDataFrame([(i * 1000, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "bucket long, x double, y double")
+    rolled = {v.bucket: v.corr for v in correlate.rolling(pairs, 10).collect()}
+    assert len(rolled) == 491 and all(rolled[1000 * i] == pytest.approx(np.corrcoef(x[i - 9 : i + 1], y[i - 9 : i + 1])[0, 1]) for i in range(9, 500))
+
+
+def test_many_anchors_are_salted(spark, ten):
+    few, many = (sorted(map(tuple, aggregate.anchored_windows(ten, "sum", 400, few=f).collect())) for f in (True, False))
+    assert few == many

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
+from .ranks import placed
 
 _ORDER = F.struct
 _INF = float("inf")
+#: First points up to which they are broadcast; with more, each is spread over so many parts.
+BROADCAST_GROUPS, SALTS = 500_000, 16
 
 
 def _number(value: str = "value") -> Column:
@@ -39,16 +42,23 @@ def check_window(window_ms: int) -> None:
         raise QueryError("a window must be longer than 0 ms")
 
 
-def anchored_windows(points: DataFrame, name: str, window_ms: int, by: tuple[str, ...] = ("series_key",), few: bool = False) -> DataFrame:
+def anchored_windows(points: DataFrame, name: str, window_ms: int, by: tuple[str, ...] = ("series_key",), few: bool | None = None) -> DataFrame:
     """window_start, value, count for each group of by and window, empty windows left out.
 
-    Windows start at the group's first point.  The first points are found by a partial aggregate and joined back, so
-    that points are not sorted by series and the aggregate itself combines before its shuffle.  few: the caller
-    knows that there are few groups, whose first points are then broadcast.
+    Windows start at the group's first point.  The first points are found by a partial aggregate.  Up to
+    BROADCAST_GROUPS of them are broadcast, so that points stay where they are and the aggregate itself combines before
+    its one shuffle; more meet the points by a salted shuffle.  few: whether there are few, where the caller knows it;
+    else they are counted.
     """
     check_window(window_ms)
     anchors = points.groupBy(*by).agg(F.min("ts_ms").alias("t0"))
-    placed = points.join(F.broadcast(anchors) if few else anchors, list(by))
+    if few is None:
+        few = anchors.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    if few:
+        placed = points.join(F.broadcast(anchors), list(by))
+    else:
+        dealt = anchors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = points.withColumn("_salt", F.pmod(F.xxhash64("ts_ms", "seq"), F.lit(SALTS)).cast("int")).join(dealt, [*by, "_salt"]).drop("_salt")
     start = F.col("t0") + F.expr(f"(ts_ms - t0) div {int(window_ms)}") * window_ms
     return placed.withColumn("window_start", start).groupBy(*by, "window_start").agg(aggregate(name).alias("value"), F.count(F.lit(1)).alias("count"))
 
@@ -61,9 +71,26 @@ def epoch_windows(points: DataFrame, name: str, window_ms: int) -> DataFrame:
 
 
 def percentiles(points: DataFrame, shares: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), exact: bool = True) -> DataFrame:
-    """Percentiles of each series: interpolated and exact, or by sketches of bounded memory."""
-    make = F.percentile if exact else F.percentile_approx
-    return points.groupBy("series_key").agg(*(make("value", s).alias(f"p{round(s * 100)}") for s in shares))
+    """Percentiles of each series: interpolated and exact, or by sketches of bounded memory.
+
+    The exact ones are picked by place: no task holds all values of a series.
+    """
+    names = [f"p{round(s * 100)}" for s in shares]
+    if not exact:
+        return points.groupBy("series_key").agg(*(F.percentile_approx("value", s).alias(p) for s, p in zip(shares, names)))
+    every = placed(points.where("value IS NOT NULL"), "value", ("series_key",))
+    picks = {}
+    for s, p in zip(shares, names):
+        at = (F.col("n") - 1) * F.lit(s)
+        for side, place in (("low", F.floor(at)), ("high", F.ceil(at))):
+            picks[f"{p}_{side}"] = F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("ties")), F.col("value")))
+    found = every.groupBy("series_key").agg(F.first("n").alias("n"), *(c.alias(k) for k, c in picks.items()))
+
+    def between(s: float, p: str) -> Column:
+        part = (F.col("n") - 1) * F.lit(s) - F.floor((F.col("n") - 1) * F.lit(s))
+        return F.when(part == 0, F.col(f"{p}_low")).otherwise((1 - part) * F.col(f"{p}_low") + part * F.col(f"{p}_high"))
+
+    return found.select("series_key", *(between(s, p).alias(p) for s, p in zip(shares, names)))
 
 
 def rollup(points: DataFrame, window_ms: int) -> DataFrame:

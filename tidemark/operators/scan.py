@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,23 @@ def retain(points: DataFrame, cutoff_ms: int) -> tuple[DataFrame, DataFrame]:
     return points.where(F.col("ts_ms") >= cutoff_ms), gone
 
 
-def shard_of(points: DataFrame, shards: int = 256) -> DataFrame:
-    """points with the shard of their series."""
-    return points.withColumn("shard", F.pmod(F.xxhash64("series_key"), F.lit(shards)).cast("int"))
+def ring(shards: list[str], places: int = 64) -> list[tuple[int, str]]:
+    """Where shards stand on a ring of 60-bit numbers, each at several places: the first 15 digits of MD5 of shard/k."""
+    return sorted((int(hashlib.md5(f"{s}/{k}".encode()).hexdigest()[:15], 16), s) for s in set(shards) for k in range(places))
+
+
+def shard_of(keys: DataFrame, shards: list[str], places: int = 64) -> DataFrame:
+    """series_key and shard of each different key: the first that stands at or after the key's own number on the ring,
+    so that a shard more or less moves only the keys that it takes or leaves."""
+    stops = ring(shards, places)
+    at, names = F.array(*(F.lit(a) for a, _ in stops)), F.array(*(F.lit(s) for _, s in stops))
+    number = F.conv(F.substring(F.md5("series_key"), 1, 15), 16, 10).cast("bigint")
+    before = F.size(F.filter(at, lambda a: a < F.col("number")))
+    found = keys.where("series_key IS NOT NULL").select("series_key").distinct().withColumn("number", number)
+    return found.select("series_key", F.get(names, before % len(stops)).alias("shard"))
+
+
+def rebalanced(keys: DataFrame, before: list[str], after: list[str], places: int = 64) -> DataFrame:
+    """series_key, from, to of the keys that move when shards change."""
+    old, new = shard_of(keys, before, places).withColumnRenamed("shard", "from"), shard_of(keys, after, places).withColumnRenamed("shard", "to")
+    return old.join(new, "series_key").where(F.col("from") != F.col("to"))

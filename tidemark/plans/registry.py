@@ -14,6 +14,7 @@ from ..operators.aggregate import AGGREGATES
 from ..operators.downsample import downsample
 from ..sources.journal import Journal
 from ..sources.points import POINTS, from_events, from_lineitem
+from ..sources.store import PointStore
 from ..streaming import ingest
 from .query import Query, execute, execute_multi
 
@@ -58,7 +59,11 @@ def events(spark: SparkSession, sf_dir: str, *args) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
     return f"{base.rstrip('/')}/tidemark/{uuid.uuid4().hex}"
 
 
@@ -273,9 +278,52 @@ def expired_blocks(spark, sf_dir):
     return blocks.sealed_at(blocks.assign_blocks(events(spark, sf_dir)), 2**42)
 
 
-@query()
+_SHARDS = [f"shard-{i:02d}" for i in range(16)]
+_RING = """ring AS (SELECT ('0x' || substr(md5(shard || '/' || k::VARCHAR), 1, 15))::BIGINT AS stop, shard FROM (SELECT 'shard-' || lpad(i::VARCHAR, 2, '0') AS shard, i FROM range({n}) t(i)), range(64) u(k)),
+keys AS (SELECT DISTINCT series_key, ('0x' || substr(md5(series_key), 1, 15))::BIGINT AS number FROM pts)"""
+_OWNER = "coalesce((SELECT arg_min(shard, stop) FROM ring WHERE stop >= number{more}), (SELECT arg_min(shard, stop) FROM ring{only}))"
+
+
+@query(f"{PTS}, {_RING.format(n=16)} SELECT series_key, {_OWNER.format(more='', only='')} AS shard FROM keys")
 def shard_assign(spark, sf_dir):
-    return scan.shard_of(events(spark, sf_dir)).select("series_key", "shard").distinct()
+    return scan.shard_of(events(spark, sf_dir), _SHARDS)
+
+
+@query(f"""{PTS}, {_RING.format(n=16)}, moved AS (SELECT series_key, {_OWNER.format(more=" AND shard < 'shard-08'", only=" WHERE shard < 'shard-08'")} AS "from", {_OWNER.format(more='', only='')} AS "to" FROM keys)
+SELECT * FROM moved WHERE "from" <> "to" """)
+def shard_rebalance(spark, sf_dir):
+    return scan.rebalanced(events(spark, sf_dir), _SHARDS[:8], _SHARDS)
+
+
+@query(f"{PTS} SELECT * FROM pts")
+def store_append(spark, sf_dir):
+    path = scratch(spark)
+    whole = events(spark, sf_dir)
+    PointStore(spark, path).append(whole.where("seq % 2 = 0"))
+    PointStore(spark, path).append(whole.where("seq % 2 = 1"))
+    return PointStore(spark, path).points()
+
+
+@query(f"{PTS} SELECT * FROM pts WHERE series_key = 'view' AND ts_ms BETWEEN {T0} AND {T10}")
+def store_range(spark, sf_dir):
+    store = PointStore(spark, scratch(spark))
+    store.append(events(spark, sf_dir))
+    return store.series("view", T0, T10)
+
+
+@query(f"{PTS} SELECT * FROM pts WHERE ts_ms >= {T10 - 10_000_000}")
+def store_retention(spark, sf_dir):
+    store = PointStore(spark, scratch(spark))
+    store.append(events(spark, sf_dir))
+    store.retain(T10 - 10_000_000)
+    return store.points()
+
+
+@query(f"{CHAIN} SELECT series_key, block_id, min(ts_ms) AS start_ts, max(ts_ms) AS end_ts, count(*) AS count, arg_min(value, seq) AS first_value FROM blocks b WHERE block_id < (SELECT max(block_id) FROM blocks c WHERE c.series_key = b.series_key) GROUP BY 1, 2")
+def journal_recover(spark, sf_dir):
+    journal = Journal(spark, scratch(spark))
+    journal.append(events(spark, sf_dir))
+    return journal.recover()[0]
 
 
 def _stream(spark, sf_dir) -> DataFrame:

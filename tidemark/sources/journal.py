@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import assign_blocks, block_stats
+
 ENTRIES = "series_key string, ts_ms bigint, value double, seq bigint, wal_ts_ms bigint"
 
 
@@ -35,5 +37,12 @@ class Journal:
     def count(self) -> int:
         return self.entries().count()
 
+    def recover(self) -> tuple[DataFrame, DataFrame]:
+        """What a lost store held: the sealed blocks of the entries (block_stats) and the points of open blocks."""
+        rows = assign_blocks(self.replay())
+        last = rows.groupBy("series_key").agg(F.max("block_id").alias("last"))
+        sealed = block_stats(rows).join(last, "series_key").where("block_id < last").drop("last")
+        return sealed, rows.join(last, "series_key").where("block_id = last").drop("last", "block_id")
+
     def truncate(self) -> None:
         self.spark.createDataFrame([], ENTRIES).write.mode("overwrite").parquet(self.path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,20 +14,18 @@ from ..operators.blocks import BLOCK_MS
 SEALED = "series_key string, block_id bigint, start_ts bigint, end_ts bigint, count bigint, first_value double"
 
 
-def sealed_blocks(points: DataFrame, length_ms: int = BLOCK_MS, idle_ms: int | None = None) -> DataFrame:
-    """Blocks of a stream of points as they are sealed; the open block of a series is its state.
-
-    A point outside the open block, older ones too, seals it and opens the next; nothing is dropped as late.  Within
-    a batch points count in the order of seq.  idle_ms: seal a block also when no point has come for so long.
-    """
+def machine(length_ms: int = BLOCK_MS, idle_ms: int | None = None) -> Callable:
+    """The block machine of one series: handles a batch of its points, or that none came in time."""
+    columns = ["series_key", "block_id", "start_ts", "end_ts", "count", "first_value"]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = list(state.get) if state.exists else None  # block_id, start_ts, end_ts, count, first_value
         out = []
         if state.hasTimedOut:
-            out.append((key[0], *now))
-            state.update((now[0] + 1, -1, -1, 0, 0.0))
-            yield pd.DataFrame(out, columns=["series_key", "block_id", "start_ts", "end_ts", "count", "first_value"])
+            if now and now[3]:
+                out.append((key[0], *now))
+                state.update((now[0] + 1, -1, -1, 0, 0.0))
+            yield pd.DataFrame(out, columns=columns)
             return
         every = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
         for ts, value in zip(every["ts_ms"].tolist(), every["value"].tolist()):
@@ -44,11 +42,20 @@ def sealed_blocks(points: DataFrame, length_ms: int = BLOCK_MS, idle_ms: int | N
         state.update(tuple(now))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["series_key", "block_id", "start_ts", "end_ts", "count", "first_value"])
+        yield pd.DataFrame(out, columns=columns)
+
+    return run
 
+
+def sealed_blocks(points: DataFrame, length_ms: int = BLOCK_MS, idle_ms: int | None = None) -> DataFrame:
+    """Blocks of a stream of points as they are sealed; the open block of a series is its state.
+
+    A point outside the open block, older ones too, seals it and opens the next; nothing is dropped as late.  Within
+    a batch points count in the order of seq.  idle_ms: seal a block also when no point has come for so long.
+    """
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     held = "block_id bigint, start_ts bigint, end_ts bigint, count bigint, first_value double"
-    return points.groupBy("series_key").applyInPandasWithState(run, SEALED, held, "append", timeout)
+    return points.groupBy("series_key").applyInPandasWithState(machine(length_ms, idle_ms), SEALED, held, "append", timeout)
 
 
 def window_averages(points: DataFrame, window_ms: int, late: str = "2 hours") -> DataFrame:
