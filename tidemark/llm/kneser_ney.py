@@ -11,7 +11,7 @@ counts, and limits on perplexity are quantiles over that part, by language.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,48 +32,50 @@ QUANTILE, MARGIN = 0.99, 1.15
 EVIDENCE = 20.0
 #: A language's limit leans on the limit of all languages as if that were so many documents more.
 WEIGHT = 10.0
-#: Bytes of text that are looked up at once.
-STRETCH = 1_000_000
+#: Bytes of text that are looked up at once, and whose n-grams are counted before they leave a worker.
+STRETCH, COUNTED = 1_000_000, 2_500_000
 #: Joins by shuffle spread the rows of one language over so many parts.
 SALTS = 64
 
 TAIL = pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())]))
 
 
-def stretches(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The n-gram that ends at each byte of the texts, and the place of its text, for about STRETCH bytes at a time.
+def stretches(texts: Iterable[str | None], size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The n-gram that ends at each byte of the texts, and the place of its text, for about size bytes at a time
+    (STRETCH if none is given).
 
     A text begins after zeros.  A long one goes on in the next stretch with the bytes before it, so that its n-grams
     are the same however it is cut.
     """
-    held, owners, size = [], [], 0
+    most = size or STRETCH
+    held, owners, n_held = [], [], 0
     for k, text in enumerate(texts):
         data = np.frombuffer(b"\0" * (ORDER - 1) + (text or "").encode("utf-8", "replace"), np.uint8)
-        for at in range(0, len(data) - ORDER + 1, STRETCH):
-            part = data[at : at + STRETCH + ORDER - 1]
+        for at in range(0, len(data) - ORDER + 1, most):
+            part = data[at : at + most + ORDER - 1]
             n = len(part) - ORDER + 1
             gram = part[:n].astype(np.int64)
             for j in range(1, ORDER):
                 gram <<= 8
                 gram |= part[j : j + n]
             held.append(gram)
-            owners.append(np.full(n, k))
-            size += n
-            if size >= STRETCH:
+            owners.append(np.full(n, k, np.int32))
+            n_held += n
+            if n_held >= most:
                 yield np.concatenate(held), np.concatenate(owners)
-                held, owners, size = [], [], 0
+                held, owners, n_held = [], [], 0
     if held:
         yield np.concatenate(held), np.concatenate(owners)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, len(batch), 1000):
-            part = batch.slice(i, 1000)
-            told = part.column("counted").to_numpy(zero_copy_only=False).astype(np.int64)
-            for gram, owner in stretches(part.column("text").to_pylist()):
-                u, n = np.unique(gram | told[owner] << 8 * ORDER, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u & (1 << 8 * ORDER) - 1), pa.array(n * (u >> 8 * ORDER)), pa.array(n)], names=["gram", "n_trusted", "n"])
+        told = batch.column("counted").to_numpy(zero_copy_only=False).astype(np.int64) << 8 * ORDER
+        texts = (t for i in range(0, len(batch), 500) for t in batch.column("text")[i : i + 500].to_pylist())
+        for gram, owner in stretches(texts, COUNTED):
+            gram |= told[owner]
+            u, n = np.unique(gram, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u & (1 << 8 * ORDER) - 1), pa.array(n * (u >> 8 * ORDER)), pa.array(n)], names=["gram", "n_trusted", "n"])
 
 
 def counts(docs: DataFrame) -> DataFrame:
