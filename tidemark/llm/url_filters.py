@@ -113,10 +113,11 @@ def _with_siblings(nodes: DataFrame) -> DataFrame:
     """nodes with n and k of all that are merged with them: in order of their shares, the labelled branches of a parent
     go together while neighbours don't differ, by the deviation of the difference of two shares."""
     told = nodes.withColumn("told", F.col("n") > 0)
-    order = Window.partitionBy("host", "parent", "told").orderBy(F.col("k") / F.col("n"), "node")
-    n0, k0 = F.lag("n").over(order), F.lag("k").over(order)
-    pooled = (F.col("k") + k0) / (F.col("n") + n0)
-    differ = F.abs(F.col("k") / F.col("n") - k0 / n0) > SAME * F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / n0))
+    n = F.greatest("n", F.lit(1))  # branches without labels differ from none
+    order = Window.partitionBy("host", "parent", "told").orderBy(F.col("k") / n, "node")
+    n0, k0 = F.lag(n).over(order), F.lag("k").over(order)
+    pooled = (F.col("k") + k0) / (n + n0)
+    differ = F.abs(F.col("k") / n - k0 / n0) > SAME * F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / n0))
     told = told.withColumn("first", F.coalesce((F.col("told") & differ).cast("int"), F.lit(0)))
     told = told.withColumn("group", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("host", "parent", "told", "group")
