@@ -34,9 +34,9 @@ CAPACITY = 2048
 SLACK = 8
 FAN_IN, CARRY = 16, 4096
 #: Encoded units that a worker keeps.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 150_000
 #: Texts tokenised at a time, by bytes.
-CHUNK = 2_500_000
+CHUNK = 600_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
