@@ -33,7 +33,7 @@ EVIDENCE = 20.0
 #: A language's limit leans on the limit of all languages as if that were so many documents more.
 WEIGHT = 10.0
 #: Bytes of text that are looked up at once, and whose n-grams are counted before they leave a worker.
-STRETCH, COUNTED = 1_000_000, 2_500_000
+STRETCH, COUNTED = 1_000_000, 1_250_000
 #: Joins by shuffle spread the rows of one language over so many parts.
 SALTS = 64
 
@@ -48,34 +48,42 @@ def stretches(texts: Iterable[str | None], size: int | None = None) -> Iterator[
     are the same however it is cut.
     """
     most = size or STRETCH
-    held, owners, n_held = [], [], 0
+    gram = owner = None
+    end = 0
     for k, text in enumerate(texts):
         data = np.frombuffer(b"\0" * (ORDER - 1) + (text or "").encode("utf-8", "replace"), np.uint8)
         for at in range(0, len(data) - ORDER + 1, most):
             part = data[at : at + most + ORDER - 1]
             n = len(part) - ORDER + 1
-            gram = part[:n].astype(np.int64)
+            if gram is None:  # a part fits in whatever is held; memory that isn't written to costs nothing
+                gram, owner = np.empty(2 * most, np.int64), np.empty(2 * most, np.int32)
+            mine = gram[end : end + n]
+            mine[:] = part[:n]
             for j in range(1, ORDER):
-                gram <<= 8
-                gram |= part[j : j + n]
-            held.append(gram)
-            owners.append(np.full(n, k, np.int32))
-            n_held += n
-            if n_held >= most:
-                yield np.concatenate(held), np.concatenate(owners)
-                held, owners, n_held = [], [], 0
-    if held:
-        yield np.concatenate(held), np.concatenate(owners)
+                mine <<= 8
+                mine |= part[j : j + n]
+            owner[end : end + n] = k
+            end += n
+            if end >= most:
+                out, gram, owner, mine, end = (gram[:end], owner[:end]), None, None, None, 0
+                yield out
+                del out
+    if end:
+        yield gram[:end], owner[:end]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        told = batch.column("counted").to_numpy(zero_copy_only=False).astype(np.int64) << 8 * ORDER
+        told = batch.column("counted").to_numpy(zero_copy_only=False)
         texts = (t for i in range(0, len(batch), 500) for t in batch.column("text")[i : i + 500].to_pylist())
         for gram, owner in stretches(texts, COUNTED):
-            gram |= told[owner]
-            u, n = np.unique(gram, return_counts=True)
+            np.bitwise_or(gram, 1 << 8 * ORDER, out=gram, where=told[owner])
+            gram.sort()
+            first = np.append(0, np.flatnonzero(gram[1:] != gram[:-1]) + 1)
+            u, n = gram[first], np.diff(first, append=len(gram))
+            del gram, owner, first  # a worker holds little beside what it sends
             yield pa.RecordBatch.from_arrays([pa.array(u & (1 << 8 * ORDER) - 1), pa.array(n * (u >> 8 * ORDER)), pa.array(n)], names=["gram", "n_trusted", "n"])
+            del u, n
 
 
 def counts(docs: DataFrame) -> DataFrame:
