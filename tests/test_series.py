@@ -1,5 +1,6 @@
 """Scans, windows, downsampling, queries and blocks on small fixtures."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -214,6 +215,26 @@ def test_catalogue(spark):
     assert P.clean(dirty).count() == 1
 
 
+def test_shards_are_found_for_keys_not_points(spark):
+    """Nothing but the null test of the key stands under the distinct; owners are those of a walk round the ring."""
+    points = spark.range(3000).selectExpr("concat('key', id % 700) AS series_key")
+    shards = [f"s{i}" for i in range(9)]
+
+    def owner(key, of):
+        number, stops = int(hashlib.md5(key.encode()).hexdigest()[:15], 16), scan.ring(of)
+        return next((s for a, s in stops if a >= number), stops[0][1])
+
+    names = [f"key{i}" for i in range(700)]
+    assert dict(map(tuple, scan.shard_of(points, shards).collect())) == {k: owner(k, shards) for k in names}
+    for before, after in ((shards[:8], shards), (shards, shards[3:]), (shards[:1], shards[1:2])):
+        moved = scan.rebalanced(points, before, after)
+        assert sorted(map(tuple, moved.collect())) == sorted((k, owner(k, before), owner(k, after)) for k in names if owner(k, before) != owner(k, after))
+        plan = moved._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate") == 1 and "md5" not in plan.split("Aggregate")[1].split("\n", 1)[1]
+    assert scan.rebalanced(points, shards, shards[::-1]).collect() == []
+    assert scan.arcs([(scan.TOP, "a")]) == [(0, scan.TOP, "a")] and scan.arcs([(0, "a"), (9, "b")]) == [(0, 0, "a"), (1, 9, "b"), (10, scan.TOP, "a")]
+
+
 def test_correlations(spark):
     pairs = spark.createDataFrame([(i, float(i), float(i * i)) for i in range(60)], "bucket long, x double, y double")
     assert correlate.spearman(pairs).first()["corr"] == pytest.approx(1)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,23 +74,43 @@ def retain(points: DataFrame, cutoff_ms: int) -> tuple[DataFrame, DataFrame]:
     return points.where(F.col("ts_ms") >= cutoff_ms), gone
 
 
+#: The last number on a ring.
+TOP = 2**60 - 1
+
+
 def ring(shards: list[str], places: int = 64) -> list[tuple[int, str]]:
     """Where shards stand on a ring of 60-bit numbers, each at several places: the first 15 digits of MD5 of shard/k."""
     return sorted((int(hashlib.md5(f"{s}/{k}".encode()).hexdigest()[:15], 16), s) for s in set(shards) for k in range(places))
 
 
+def arcs(*rings: list[tuple[int, str]]) -> list[tuple]:
+    """Stretches of numbers on which no ring changes its shard: first and last number, and the shard on each ring."""
+    at = [[a for a, _ in r] for r in rings]
+    lasts = sorted({TOP, *itertools.chain.from_iterable(at)})
+    return [(a + 1, b, *(r[bisect.bisect_left(x, b) % len(r)][1] for r, x in zip(rings, at))) for a, b in itertools.pairwise([-1, *lasts])]
+
+
+def _placed(keys: DataFrame, found: list[tuple], names: list[str]) -> DataFrame:
+    """series_key and the names of the arc of each different key whose number lies on an arc.
+
+    The arcs are a small table, cut where the numbers' leading bits change and joined by those.  No expression of the
+    key may be null, since the optimiser would test that for every point, before the keys are made distinct.
+    """
+    low = TOP.bit_length() - len(found).bit_length()
+    rows = [(b, max(first, b << low), min(last, ((b + 1) << low) - 1), *shards) for first, last, *shards in found for b in range(first >> low, (last >> low) + 1)]
+    table = keys.sparkSession.createDataFrame(rows, ", ".join(["bits long", "first long", "last long", *(f"`{n}` string" for n in names)]))
+    number = F.coalesce(F.conv(F.substring(F.md5("series_key"), 1, 15), 16, 10).cast("bigint"), F.lit(0))
+    each = keys.where("series_key IS NOT NULL").select("series_key").distinct().withColumn("number", number)
+    on = (F.shiftright("number", low) == F.col("bits")) & F.col("number").between(F.col("first"), F.col("last"))
+    return each.join(F.broadcast(table), on).select("series_key", *names)
+
+
 def shard_of(keys: DataFrame, shards: list[str], places: int = 64) -> DataFrame:
     """series_key and shard of each different key: the first that stands at or after the key's own number on the ring,
     so that a shard more or less moves only the keys that it takes or leaves."""
-    stops = ring(shards, places)
-    at, names = F.array(*(F.lit(a) for a, _ in stops)), F.array(*(F.lit(s) for _, s in stops))
-    number = F.conv(F.substring(F.md5("series_key"), 1, 15), 16, 10).cast("bigint")
-    before = F.size(F.filter(at, lambda a: a < F.col("number")))
-    found = keys.where("series_key IS NOT NULL").select("series_key").distinct().withColumn("number", number)
-    return found.select("series_key", F.get(names, before % len(stops)).alias("shard"))
+    return _placed(keys, arcs(ring(shards, places)), ["shard"])
 
 
 def rebalanced(keys: DataFrame, before: list[str], after: list[str], places: int = 64) -> DataFrame:
-    """series_key, from, to of the keys that move when shards change."""
-    old, new = shard_of(keys, before, places).withColumnRenamed("shard", "from"), shard_of(keys, after, places).withColumnRenamed("shard", "to")
-    return old.join(new, "series_key").where(F.col("from") != F.col("to"))
+    """series_key, from, to of the keys that move when shards change: those on arcs that do."""
+    return _placed(keys, [a for a in arcs(ring(before, places), ring(after, places)) if a[2] != a[3]], ["from", "to"])
