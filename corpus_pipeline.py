@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import kneser_ney, ngram_join, packing, pii, quality_rules
-from tidemark.llm.shared import bounded, cut, remove, row_hash, salt_of, scope, table, written
+from tidemark.llm.shared import bounded, cut, remove, row_hash, salt_of, scope, small_batches, table, written
 
 #: SQL cannot express the stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
@@ -46,7 +46,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within the limit of their language."""
-    return _kept(docs, lambda rows, key: kneser_ney.classify(rows, table(spark, sf_dir, "labels"), (key,)))
+    with small_batches(spark):
+        return _kept(docs, lambda rows, key: kneser_ney.classify(rows, table(spark, sf_dir, "labels"), (key,)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without doc_id stay only where no row of the group has one.  Of rows that are equal in all columns one stays."""
     key = f"key_{uuid.uuid4().hex}"
     rows = _told_apart(docs, key)
-    found = cut(ngram_join.near_duplicates(rows, (key,)).select("doc_id", key, "class_key"))
+    with small_batches(spark):
+        found = cut(ngram_join.near_duplicates(rows, (key,)).select("doc_id", key, "class_key"))
     one = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", key)).alias("one")
     salted = found.withColumn("salt", salt_of(key, 64)).groupBy("class_key", "salt").agg(one, F.count("*").alias("n"))
     first = cut(salted.groupBy("class_key").agg(F.min("one").alias("one"), F.sum("n").alias("n")).select("one.*", "n"))

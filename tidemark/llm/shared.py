@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: join is by shuffle.
 BROADCAST_ROWS = 500_000
 
+#: Bytes of rows that a Python worker gets at a time.
+BATCH_BYTES = 4_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,6 +61,22 @@ def scope(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, Python workers get rows by BATCH_BYTES, not by ten thousand however long they are: of long texts the JVM
+    and the worker would hold tens of megabytes each.  What is lazy must be cut within."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df from a table in the shared folder that it was written to, and where that is."""
     spark = df.sparkSession
