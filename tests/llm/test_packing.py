@@ -4,8 +4,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from tidemark.llm import packing
 from tidemark.llm.packing import WordTokens, best_fit, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -44,6 +46,41 @@ def test_tokens_are_the_tokenizers_own():
     assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in mine] == [ids[:-1] for ids in ids_of(texts)]
 
 
+def test_units_are_held_in_arrays(monkeypatch):
+    """A unit takes some tens of bytes; a table that overflows again and again gives the same ids, nulls and slices too."""
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("aeiourstnl") for _ in range(8)) + r.choice(["", ".", "!!"]) for _ in range(500)) for _ in range(60)]
+    texts = [None, *texts[:30], "", "日本 don't x", *texts[30:], None]
+    want = [struct.pack(f"<{len(ids) - 1}I", *ids[:-1]) for ids in ids_of(texts)]
+    tokens = WordTokens(PATH)
+    assert tokens(pa.array(texts)) == want and tokens(pa.array(texts, pa.large_string())[2:9]) == want[2:9]
+    assert 20_000 < len(tokens.units) and sum(x.nbytes for x in (tokens.units, tokens.ids, tokens.starts)) < 60 * len(tokens.units)
+    monkeypatch.setattr(packing, "CACHE_UNITS", 1000)
+    tokens = WordTokens(PATH)
+    assert [x for i in range(len(texts)) for x in tokens(pa.array(texts[i : i + 1], pa.string()))] == want and len(tokens.units) <= 1000
+    assert tokens(pa.array([], pa.string())) == [] and tokens(pa.array([None, " "])) == [b"", b""]
+
+
+def test_workers_get_some_megabytes_at_a_time(spark, monkeypatch):
+    real = packing.pack_partition
+
+    def spying(path, capacity):
+        run = real(path, capacity)
+
+        def seen(batches):
+            for batch in batches:
+                if batch.nbytes > 5_000_000:
+                    raise ValueError(f"a batch of {batch.nbytes} bytes")
+                yield batch
+
+        return lambda batches: run(seen(batches))
+
+    monkeypatch.setattr(packing, "pack_partition", spying)
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('alpha beta ', 300) AS text")
+    assert pack(docs, PATH).count() == 4000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
 def test_best_fit_is_tight():
     r = np.random.default_rng(0)
     for _ in range(20):
