@@ -178,3 +178,11 @@ def test_classifier_edges(spark):
     assert len(got) == 5 and all(r.kept for r in got if r.doc_id is not None)
     assert kneser_ney.classify(docs.limit(0), labels).collect() == []
     assert all(r.kept for r in kneser_ney.classify(docs, labels.limit(0)).collect())
+
+
+def test_the_driver_builds_steps_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    frame = spark.createDataFrame([(i, 0, "{}", *map(float, x)) for i, x in enumerate(rng.normal(size=(60, 6)))], "doc_id long, level int, key string, x0 double, x1 double, x2 double, x3 double, x4 double, x5 double")
+    built, build = [], quality_rules._distance
+    monkeypatch.setattr(quality_rules, "_distance", lambda: built.append(1) or build())
+    assert quality_rules.estimates(frame).count() == 1 and len(built) == 1

@@ -7,8 +7,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import pii, secrets
+from tidemark.llm import pii, secrets, shared
 
 
 def luhn(d):
@@ -184,3 +185,22 @@ def test_many_mentions_in_one_text(spark):
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, kind string, start int")
     assert pii.report(docs).collect() == [] and secrets.report(docs).collect() == [] and pii.sanitise(docs).collect() == []
+
+
+def test_the_driver_builds_patterns_once(spark, monkeypatch):
+    """Each time takes thousands of calls and tens of megabytes of the driver."""
+    docs = spark.createDataFrame([(1, "to a@b.co from 1.2.3.4"), (2, None)], "doc_id long, text string")
+    built, build = [], pii.base_spans
+    monkeypatch.setattr(pii, "base_spans", lambda text: built.append(1) or build(text))
+    assert [r.text for r in pii.sanitise(docs).orderBy("doc_id").collect()] == ["to [EMAIL] from [IP]", None] and len(built) == 1
+    assert sorted(r.spans for r in pii.report(docs).collect()) == ["", "email:3:9,ip:15:22"] and len(built) == 2
+
+
+def test_counting_is_one_plan(spark, monkeypatch):
+    """bounded() plans once, and leaves the session as it was."""
+    name, seen, count = "spark.sql.adaptive.enabled", [], type(spark.range(0)).count
+    monkeypatch.setattr(type(spark.range(0)), "count", lambda df: seen.append(spark.conf.get(name)) or count(df))
+    before = spark.conf.get(name)
+    assert shared.bounded(spark.range(5), 5) and not shared.bounded(spark.range(6), 5) and seen == ["false", "false"]
+    lists = spark.createDataFrame([([1, 2],), ([3],)], "x array<int>")
+    assert shared.bounded(lists, 3, F.size("x")) and not shared.bounded(lists, 2, F.size("x")) and spark.conf.get(name) == before

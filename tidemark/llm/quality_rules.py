@@ -122,8 +122,9 @@ def _square(value: Callable[[Column, Column], Column]) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(_D * _D - 1)), lambda t: value(F.floor(t / _D).cast("int"), t % _D))
 
 
-def _inverted(est: DataFrame) -> DataFrame:
-    """Adds p, the inverse of the scatter c, and logdet, the log of its determinant, by sweeping each row in turn."""
+def _swept() -> Column:
+    """The scatter c with each row swept in turn: a, whose negative is its inverse, and logdet, the log of its
+    determinant."""
 
     def sweep(now: Column, k: Column) -> Column:
         a = now["a"]
@@ -141,7 +142,13 @@ def _inverted(est: DataFrame) -> DataFrame:
         return let(F.greatest(at(k, k), F.lit(1e-12)), swept)
 
     done = F.aggregate(F.sequence(F.lit(0), F.lit(_D - 1)), F.struct(F.col("c").alias("a"), F.lit(0.0).alias("logdet")), sweep)
-    out = est.withColumn("done", let(done, lambda d: d)).withColumn("p", F.transform("done.a", lambda x: -x))
+    return let(done, lambda d: d)
+
+
+def _inverted(est: DataFrame, swept: Column | None = None) -> DataFrame:
+    """Adds p, the inverse of the scatter c, and logdet, the log of its determinant; swept: _swept() where it is at
+    hand."""
+    out = est.withColumn("done", _swept() if swept is None else swept).withColumn("p", F.transform("done.a", lambda x: -x))
     return out.withColumn("logdet", F.col("done.logdet")).drop("done")
 
 
@@ -199,18 +206,27 @@ def _starts(rows: DataFrame, few: bool) -> DataFrame:
     return told.select("level", "key", "n", F.posexplode(F.array(*plain, *single)).alias("start", "e")).select("level", "key", "start", "n", "e.m", "e.c")
 
 
-def _concentrate(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
+def _step() -> dict[str, Column]:
+    """The columns of a concentration step, which are the same in all steps: the driver builds each by hundreds of
+    calls, so that they are built once."""
+    floor = F.array(*(F.lit(x * x) for x in VECTOR.values()))
+    return {
+        "distance": _distance(),
+        "mean": F.array(*(F.avg(f"x{i}") for i in range(_D))).alias("m"),
+        "products": _matrix(lambda i, k: F.avg(F.col(f"x{i}") * F.col(f"x{k}"))).alias("q"),
+        "scatter": _square(lambda i, k: F.get("q", i * _D + k) - F.get("m", i) * F.get("m", k) + F.when(i == k, F.get(floor, i)).otherwise(0.0)).alias("c"),
+        "swept": _swept(),
+    }
+
+
+def _concentrate(rows: DataFrame, now: DataFrame, few: bool, step: dict[str, Column]) -> DataFrame:
     """The estimates from the closest share of rows of each estimate of now."""
-    floors = list(VECTOR.values())
     by = ["level", "key", "start"]
-    apart = _meet(rows, now.select(*by, "m", "p"), few).withColumn("d", _distance())
+    apart = _meet(rows, now.select(*by, "m", "p"), few).withColumn("d", step["distance"])
     far = apart.groupBy(*by).agg(F.percentile_approx("d", SHARE, 10_000).alias("far"))
-    near = _meet(rows, now.select(*by, "n", "m", "p").join(far, by), few).where(_distance() <= F.col("far"))
-    mean = F.array(*(F.avg(f"x{i}") for i in range(_D)))
-    sums = near.groupBy(*by).agg(F.first("n").alias("n"), mean.alias("m"), _matrix(lambda i, k: F.avg(F.col(f"x{i}") * F.col(f"x{k}"))).alias("q"))
-    floor = F.array(*(F.lit(x * x) for x in floors))
-    scatter = _square(lambda i, k: F.get("q", i * _D + k) - F.get("m", i) * F.get("m", k) + F.when(i == k, F.get(floor, i)).otherwise(0.0))
-    return cut(_inverted(sums.select(*by, "n", "m", scatter.alias("c"))))
+    near = _meet(rows, now.select(*by, "n", "m", "p").join(far, by), few).where(step["distance"] <= F.col("far"))
+    sums = near.groupBy(*by).agg(F.first("n").alias("n"), step["mean"], step["products"])
+    return cut(_inverted(sums.select(*by, "n", "m", step["scatter"]), step["swept"]))
 
 
 def estimates(rows: DataFrame, few: bool = True) -> DataFrame:
@@ -221,18 +237,19 @@ def estimates(rows: DataFrame, few: bool = True) -> DataFrame:
     any more.  few: there are few groups.
     """
     by = ["level", "key"]
-    now = cut(_inverted(_starts(rows, few)))
+    step = _step()
+    now = cut(_inverted(_starts(rows, few), step["swept"]))
     for _ in range(FIRST):
-        now = _concentrate(rows, now, few)
+        now = _concentrate(rows, now, few, step)
     best = cut(now.groupBy(*by).agg(F.min_by(F.struct(*(c for c in now.columns if c not in by)), F.struct("logdet", "start")).alias("e")).select(*by, "e.*"))
     for _ in range(MOST_STEPS):
-        then = _concentrate(rows, best, few)
+        then = _concentrate(rows, best, few, step)
         before = best.select(*by, F.col("logdet").alias("before"))
         fell = then.join(before, by).agg(F.max(F.col("before") - F.col("logdet")).alias("d")).first()["d"]
         best = then
         if fell is None or fell < TOLERANCE:
             break
-    scale = _meet(rows, best, few).groupBy(*by).agg(F.greatest(F.percentile_approx(_distance(), 0.5, 10_000) / CHI_MEDIAN, F.lit(1.0)).alias("scale"))
+    scale = _meet(rows, best, few).groupBy(*by).agg(F.greatest(F.percentile_approx(step["distance"], 0.5, 10_000) / CHI_MEDIAN, F.lit(1.0)).alias("scale"))
     return best.join(scale, by).drop("start")
 
 

@@ -62,12 +62,10 @@ def scope(spark: SparkSession) -> Iterator[None]:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within, Python workers get rows by BATCH_BYTES, not by ten thousand however long they are: of long texts the JVM
-    and the worker would hold tens of megabytes each.  What is lazy must be cut within."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Within, the session has this setting.  What is lazy must be cut within."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, str(BATCH_BYTES))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -77,6 +75,12 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Within, Python workers get rows by BATCH_BYTES, not by ten thousand however long they are: of long texts the JVM
+    and the worker would hold tens of megabytes each.  What is lazy must be cut within."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df from a table in the shared folder that it was written to, and where that is."""
     spark = df.sparkSession
@@ -98,9 +102,10 @@ def cut(df: DataFrame) -> DataFrame:
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS, elements: Column | None = None) -> bool:
     """Whether df has at most limit rows, where it stops counting just beyond; with elements, of lists and the like,
     whether those sum up to limit at most."""
-    if elements is not None:
-        return (df.agg(F.sum(elements)).first()[0] or 0) <= limit
-    return df.limit(limit + 1).count() <= limit
+    with setting(df.sparkSession, "spark.sql.adaptive.enabled", "false"):  # one plan and job, not a new one for each stage
+        if elements is not None:
+            return (df.agg(F.sum(elements)).first()[0] or 0) <= limit
+        return df.limit(limit + 1).count() <= limit
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS, elements: Column | None = None) -> DataFrame:
