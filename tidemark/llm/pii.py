@@ -156,8 +156,8 @@ def disclosing(docs: DataFrame, found: DataFrame, outside: Column) -> tuple[Data
 
 def added_spans(docs: DataFrame, base: Column) -> tuple[DataFrame, DataFrame]:
     """What _found() gives; and doc and the spans of disclosing terms, wherever they stand in a document that mentions
-    the entity.  base is base_spans(F.col("text")), which callers build once: each time takes the driver tens of
-    megabytes, and its threads a few seconds."""
+    the entity.  base is base_spans(F.col("text")), which callers build once: each time takes thousands of calls
+    and tens of megabytes of the driver."""
     found, outside = _found(docs, base), _outside(F.col("text"), base)
     told, held = disclosing(docs, found, outside)
     told = cut(told.select("entity", "term"))
